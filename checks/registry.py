@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from checks.ledger import JOB_SQL, JOBS, on_books
 from checks.reports import REPORT_SQL, REPORTS
 from platter.schema import Tables
 from platter.sources.retail import retail_tables
@@ -18,8 +19,10 @@ def _on_tables(plan: Callable[[Tables], DataFrame]) -> Query:
 
 
 def all_queries() -> dict[str, Query]:
-    return {name: _on_tables(plan) for name, (plan, _) in REPORTS.items()}
+    reports = {name: _on_tables(plan) for name, (plan, _) in REPORTS.items()}
+    jobs = {name: on_books(job) for name, (job, _) in JOBS.items()}
+    return reports | jobs
 
 
 def all_sql() -> dict[str, str]:
-    return dict(REPORT_SQL)
+    return REPORT_SQL | JOB_SQL

@@ -21,7 +21,7 @@ class Outcome:
     """
 
     tables: Tables
-    rejects: DataFrame
+    rejects: DataFrame | None = None
     done: DataFrame | None = None
 
 

@@ -186,8 +186,10 @@ def apply_status_updates(
     wallets = t.users.select("user_id", F.col("wallet_balance").cast(_MONEY).alias("funds"))
     drawing = known.where("_draws").select("user_id", "position", "chunk", F.col("amount").cast(_MONEY).alias("amount"))
     # Without a balance there is nothing to lower and no limit to break.
-    debits = look_up(drawing, "user_id", wallets).where(F.col("funds").isNotNull())
-    outcomes = stored(settle_debits(debits, fold_rows), "settled")
+    payable = F.coalesce(F.col("amount") > 0, F.lit(False))
+    debits = look_up(drawing.where(payable), "user_id", wallets).where(F.col("funds").isNotNull())
+    unpayable = drawing.where(~payable).select("position", F.lit(False).alias("granted"))
+    outcomes = stored(settle_debits(debits, fold_rows).unionByName(unpayable), "settled")
 
     judged = running(
         known.join(outcomes, "position", "left"), "order_id", "last", F.col("granted"), "_granted"
@@ -224,6 +226,10 @@ def apply_status_updates(
     rejects = (
         malformed.select(*columns, "reason")
         .unionByName(refused(unknown.select(*columns), "order_not_found"))
-        .unionByName(refused(denied.select(*columns), "insufficient_balance"))
+        .unionByName(
+            denied.withColumn("reason", F.when(payable, "insufficient_balance").otherwise("invalid_total")).select(
+                *columns, "reason"
+            )
+        )
     )
     return Outcome(t.with_(orders=orders, users=users), rejects, applied.select(*columns))
