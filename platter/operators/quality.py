@@ -73,7 +73,7 @@ def _broken(rule: Column) -> Column:
 def _counts(table: DataFrame, broken: dict[str, Column]) -> DataFrame:
     """One pass over a table; one output row per rule."""
     counted = table.agg(*(count_where(condition).alias(name) for name, condition in broken.items()))
-    return counted.unpivot([], list(broken), "rule", "violations")
+    return counted.unpivot([], [f"`{name}`" for name in broken], "rule", "violations")
 
 
 def integrity_report(t: Tables) -> DataFrame:
