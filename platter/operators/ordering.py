@@ -12,6 +12,7 @@ from platter.operators.base import Outcome, changed, fit_to, judge, next_id, ref
 from platter.operators.sequence import CHUNK_ROWS, with_position
 from platter.operators.stock import lines_of, return_stock
 from platter.schema import PAYMENT_METHODS, PENDING_NARROW, TOTAL, Tables
+from platter.session import stored
 
 
 def derive_subtotal(lines: DataFrame) -> DataFrame:
@@ -127,11 +128,11 @@ def add_items_to_orders(
             **_quantity_rules("_stock"),
         },
     )
-    added = accepted.groupBy("order_id", "item_id").agg(
-        F.sum("quantity").alias("_added"), F.max("_price").alias("_price")
-    )
-    touched = accepted.select("order_id").distinct()
     keys = ["order_id", "item_id"]
+    added = stored(
+        accepted.groupBy(*keys).agg(F.sum("quantity").alias("_added"), F.max("_price").alias("_price")), "added"
+    )
+    touched = added.select("order_id").distinct()
 
     joined = t.order_items.join(added, keys, "left")
     grown = F.col("quantity") + F.col("_added")

@@ -2,8 +2,10 @@
 
 Requests that must act in order get a dense position.  Cutting the positions
 into equal chunks bounds every (key, chunk) group by the chunk size, however
-many rows one key holds, so per-key work is done per chunk and carried over
-from chunk to chunk through one small row each.
+many rows one key holds.  While no key holds more rows than a chunk, work per
+key is bounded as it is; once one does (``crowded``), the same work is done
+per chunk (``split=True``) and carried over from chunk to chunk through one
+small row each.
 """
 
 from __future__ import annotations
@@ -43,21 +45,44 @@ def with_position(df: DataFrame, *order: str, chunk_rows: int = CHUNK_ROWS) -> D
     )
 
 
-def look_up(rows: DataFrame, key: str, reference: DataFrame) -> DataFrame:
+def crowded(rows: DataFrame, key: str, limit: int = CHUNK_ROWS) -> bool:
+    """Whether some key holds more than ``limit`` rows; counts are summed in the map tasks."""
+    return not rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).isEmpty()
+
+
+def look_up(rows: DataFrame, key: str, reference: DataFrame, split: bool = False) -> DataFrame:
     """Left join of positioned rows with one reference row per key.
 
-    The reference row is first copied to each chunk that needs it, then
-    joined on (key, chunk), so the rows of a hot key spread over the tasks.
+    Split, the reference row is first copied to each chunk that needs it,
+    then joined on (key, chunk), so the rows of a hot key spread over tasks.
     """
+    if not split:
+        return rows.join(reference, key, "left")
     spread = rows.select(key, "chunk").distinct().join(reference, key, "left")
     return rows.join(spread, [key, "chunk"], "left")
 
 
-def running(rows: DataFrame, key: str, kind: str, value: Column, name: str, inclusive: bool = True) -> DataFrame:
+def running(
+    rows: DataFrame,
+    key: str,
+    kind: str,
+    value: Column,
+    name: str,
+    inclusive: bool = True,
+    split: bool = False,
+) -> DataFrame:
     """Running ``sum`` or ``last`` non-null value per key in order of position."""
     if kind not in ("sum", "last"):
         raise ValueError(f"unknown running aggregate {kind}")
     rows = rows.withColumn("_value", value)
+    upto = Window.currentRow if inclusive else -1
+    if not split:
+        window = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, upto)
+        if kind == "sum":
+            result = F.coalesce(F.sum("_value").over(window), F.lit(0))
+        else:
+            result = F.last("_value", ignorenulls=True).over(window)
+        return rows.withColumn(name, result).drop("_value")
     if kind == "sum":
         of_chunk = F.sum("_value")
     else:
@@ -70,7 +95,7 @@ def running(rows: DataFrame, key: str, kind: str, value: Column, name: str, incl
     in_chunk = (
         Window.partitionBy(key, "chunk")
         .orderBy("position")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        .rowsBetween(Window.unboundedPreceding, upto)
     )
     carried = (
         rows.groupBy(key, "chunk")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.operators.base import Outcome, changed, judge, refused, stamp
-from platter.operators.sequence import CHUNK_ROWS, look_up, running, with_position
+from platter.operators.sequence import CHUNK_ROWS, crowded, look_up, running, with_position
 from platter.schema import ORDER_STATUSES, PAYMENT_STATUSES, Tables
 from platter.session import stored
 
@@ -80,7 +80,7 @@ def _phase(debits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     amount, funds, spent = F.col("amount"), F.col("funds"), F.col("spent")
     small = amount * 2 <= funds
-    summed = stored(running(debits, "user_id", "sum", F.when(small, amount), "spent"), "phase")
+    summed = stored(running(debits, "user_id", "sum", F.when(small, amount), "spent", split=True), "phase")
     turning = F.when(small, spent * 2 > funds).otherwise(amount + spent <= funds)
     left = (funds - spent - F.when(small, F.lit(0)).otherwise(amount)).cast(_MONEY)
     turns = (
@@ -89,7 +89,7 @@ def _phase(debits: DataFrame) -> tuple[DataFrame, DataFrame]:
         .agg(F.min(F.struct(F.col("position").alias("at"), left.alias("left"))).alias("turn"))
         .select("user_id", "turn.*")
     )
-    placed = look_up(summed, "user_id", turns)
+    placed = look_up(summed, "user_id", turns, split=True)
     at = F.col("at")
     settled = placed.where(at.isNull() | (F.col("position") <= at)).select(
         "position", (small | F.coalesce(F.col("position") == at, F.lit(False))).alias("granted")
@@ -100,7 +100,7 @@ def _phase(debits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settled, rest
 
 
-def settle_debits(debits: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def settle_debits(debits: DataFrame, fold_rows: int = FOLD_ROWS, split: bool = True) -> DataFrame:
     """Which debits fit, taken in order of position: (position, granted).
 
     ``debits`` is (user_id, position, chunk, amount, funds) with the funds of
@@ -116,15 +116,10 @@ def settle_debits(debits: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
     settled = []
     amount, funds = F.col("amount"), F.col("funds")
     while True:
-        open_debits = debits.where(amount <= funds)
         settled.append(debits.where(amount > funds).select("position", F.lit(False).alias("granted")))
-        per_user = (
-            open_debits.groupBy("user_id", "chunk")
-            .agg(F.count("*").alias("n"), F.sum("amount").alias("due"))
-            .groupBy("user_id")
-            .agg(F.sum("n").alias("_debits"), F.sum("due").alias("_due"))
-        )
-        sized = stored(look_up(open_debits, "user_id", per_user), "debits")
+        payable = debits.where(amount <= funds)
+        per_user = payable.groupBy("user_id").agg(F.count("*").alias("_debits"), F.sum("amount").alias("_due"))
+        sized = stored(look_up(payable, "user_id", per_user, split), "debits")
         affordable = F.col("_due") <= funds
         settled.append(sized.where(affordable).select("position", F.lit(True).alias("granted")))
         settled.append(_fold(sized.where(~affordable & (F.col("_debits") <= fold_rows))))
@@ -172,27 +167,43 @@ def apply_status_updates(
         F.lit(True).alias("_known"),
     )
     placed = with_position(valid, "seq", "request_id", chunk_rows=chunk_rows)
-    looked_up = look_up(placed, "order_id", headers)
-    unknown = looked_up.where(F.col("_known").isNull())
-    known = running(
-        looked_up.where(F.col("_known")), "order_id", "last", F.col("payment_status"), "_asked", inclusive=False
+    busy_order = crowded(placed, "order_id", chunk_rows)
+    looked_up = running(
+        look_up(placed, "order_id", headers, busy_order),
+        "order_id",
+        "last",
+        F.col("payment_status"),
+        "_asked",
+        inclusive=False,
+        split=busy_order,
     )
     before = F.coalesce("_asked", "_from")
     draws = (
         (F.col("payment_method") == "wallet") & (F.col("payment_status") == "completed") & (before != "completed")
     )
-    known = stored(known.withColumn("_draws", F.coalesce(draws, F.lit(False))), "updates")
+    updates = stored(looked_up.withColumn("_draws", F.coalesce(draws, F.lit(False))), "updates")
+    unknown = updates.where(F.col("_known").isNull())
+    known = updates.where(F.col("_known"))
 
     wallets = t.users.select("user_id", F.col("wallet_balance").cast(_MONEY).alias("funds"))
     drawing = known.where("_draws").select("user_id", "position", "chunk", F.col("amount").cast(_MONEY).alias("amount"))
+    busy_user = crowded(drawing, "user_id", chunk_rows)
     # Without a balance there is nothing to lower and no limit to break.
     payable = F.coalesce(F.col("amount") > 0, F.lit(False))
-    debits = look_up(drawing.where(payable), "user_id", wallets).where(F.col("funds").isNotNull())
+    debits = look_up(drawing.where(payable), "user_id", wallets, busy_user).where(F.col("funds").isNotNull())
     unpayable = drawing.where(~payable).select("position", F.lit(False).alias("granted"))
-    outcomes = stored(settle_debits(debits, fold_rows).unionByName(unpayable), "settled")
-
-    judged = running(
-        known.join(outcomes, "position", "left"), "order_id", "last", F.col("granted"), "_granted"
+    outcomes = settle_debits(debits, fold_rows, busy_user).unionByName(unpayable)
+
+    judged = stored(
+        running(
+            known.join(outcomes, "position", "left"),
+            "order_id",
+            "last",
+            F.col("granted"),
+            "_granted",
+            split=busy_order,
+        ),
+        "judged",
     )
     refuse = (F.col("payment_status") == "completed") & ~F.coalesce("_granted", F.lit(True))
     applied = judged.where(~refuse)

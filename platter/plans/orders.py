@@ -69,8 +69,8 @@ def order_headers(t: Tables, ids: DataFrame) -> DataFrame:
 def order_lines(t: Tables, ids: DataFrame) -> DataFrame:
     """Lines of the given order ids with item and category."""
     lines = t.order_items.join(ids.select("order_id").distinct(), "order_id", "left_semi")
-    items = with_category(t.menu_items.select("item_id", "item_name", "category_id"), t.categories)
-    return lines.join(items, "item_id").select(
+    named = lines.join(t.menu_items.select("item_id", "item_name", "category_id"), "item_id")
+    return with_category(named, t.categories).select(
         "order_id",
         "order_item_id",
         "item_name",
@@ -84,15 +84,13 @@ def order_lines(t: Tables, ids: DataFrame) -> DataFrame:
 
 def line_detail(t: Tables, k: int | None = 10) -> DataFrame:
     """Lines with order, customer, item and category, the latest orders first."""
-    items = with_category(t.menu_items.select("item_id", "item_name", "category_id"), t.categories)
-    headers = with_customer(
-        t.orders.select("order_id", "user_id", "order_date", "order_status"),
-        t.users.withColumnRenamed("name", "customer_name"),
-        "customer_name",
-        "srn",
-    )
     lines = t.order_items.select("order_item_id", "order_id", "item_id", "quantity", "unit_price", "subtotal")
-    joined = lines.join(headers, "order_id").join(items, "item_id")
+    headers = t.orders.select("order_id", "user_id", "order_date", "order_status")
+    customers = t.users.select("user_id", F.col("name").alias("customer_name"), "srn")
+    items = t.menu_items.select("item_id", "item_name", "category_id")
+    joined = with_category(
+        lines.join(headers, "order_id").join(customers, "user_id").join(items, "item_id"), t.categories
+    )
     return top(
         joined,
         k,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -112,19 +112,54 @@ DEFAULTS: dict[str, dict[str, object]] = {
 }
 
 
-@dataclass(frozen=True)
-class Tables:
-    """One snapshot of the business: five frames that belong together."""
+Frame = DataFrame | Callable[[], DataFrame]
 
-    users: DataFrame
-    categories: DataFrame
-    menu_items: DataFrame
-    orders: DataFrame
-    order_items: DataFrame
 
-    def with_(self, **frames: DataFrame) -> "Tables":
+class Tables:
+    """One snapshot of the business: five frames that belong together.
+
+    A table may be given as a function; it is called when the table is first
+    used, so a report only sets up the tables it reads.
+    """
+
+    def __init__(self, users: Frame, categories: Frame, menu_items: Frame, orders: Frame, order_items: Frame) -> None:
+        self._frames: dict[str, Frame] = {
+            "users": users,
+            "categories": categories,
+            "menu_items": menu_items,
+            "orders": orders,
+            "order_items": order_items,
+        }
+
+    def _get(self, name: str) -> DataFrame:
+        frame = self._frames[name]
+        if not isinstance(frame, DataFrame):
+            frame = self._frames[name] = frame()
+        return frame
+
+    @property
+    def users(self) -> DataFrame:
+        return self._get("users")
+
+    @property
+    def categories(self) -> DataFrame:
+        return self._get("categories")
+
+    @property
+    def menu_items(self) -> DataFrame:
+        return self._get("menu_items")
+
+    @property
+    def orders(self) -> DataFrame:
+        return self._get("orders")
+
+    @property
+    def order_items(self) -> DataFrame:
+        return self._get("order_items")
+
+    def with_(self, **frames: Frame) -> "Tables":
         """The same snapshot with some tables replaced."""
-        return replace(self, **frames)
+        return Tables(**{**self._frames, **frames})
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(name, getattr(self, name)) for name in SCHEMAS]
+        return [(name, self._get(name)) for name in SCHEMAS]

@@ -8,8 +8,9 @@ no shuffle, and unused columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 
 from platter.schema import Tables
 
@@ -31,102 +32,83 @@ def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def category_key(name: str) -> Column:
-    """Surrogate key of a category: the first 28 bits of the hash of its name."""
-    return F.conv(F.substring(F.md5(F.col(name)), 1, 7), 16, 10).cast("int")
+# One expression per column of the model.
+CATEGORY_ID = "cast(conv(substring(md5(p_type), 1, 7), 16, 10) AS int)"
+SIGNED_UP = "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(c_nationkey)"
+ORDERED_AT = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey * 37 % 86400)"
+
+USERS = (
+    "c_custkey AS user_id",
+    "concat('SRN', cast(c_custkey AS string)) AS srn",
+    "c_name AS name",
+    "concat('c', cast(c_custkey AS string), CASE WHEN c_nationkey = 13 THEN '@example' ELSE '@example.com' END) AS email",
+    "CASE WHEN c_mktsegment = 'FURNITURE' THEN NULL WHEN c_nationkey = 7 THEN '12345' "
+    "ELSE lpad(cast(c_custkey AS string), 10, '0') END AS phone",
+    "CASE c_mktsegment WHEN 'BUILDING' THEN 'faculty' WHEN 'MACHINERY' THEN 'staff' ELSE 'student' END AS user_type",
+    "cast(cast(c_acctbal AS decimal(10,2)) * 100 AS decimal(10,2)) AS wallet_balance",
+    f"{SIGNED_UP} AS created_at",
+    f"{SIGNED_UP} AS updated_at",
+)
+CATEGORIES = (
+    f"{CATEGORY_ID} AS category_id",
+    "p_type AS category_name",
+    "cast(NULL AS string) AS description",
+    "p_type <> 'ECONOMY' AS is_active",
+    "timestamp_ntz'1994-01-01 00:00:00' AS created_at",
+)
+MENU_ITEMS = (
+    "p_partkey AS item_id",
+    f"{CATEGORY_ID} AS category_id",
+    "p_name AS item_name",
+    "p_brand AS description",
+    "cast(p_retailprice AS decimal(8,2)) AS price",
+    "p_size - 2 AS stock",
+    "p_size > 2 AND p_brand <> 'Brand#10' AS is_available",
+    "p_size AS preparation_time_minutes",
+    "cast(NULL AS string) AS image_url",
+    "cast(NULL AS string) AS nutritional_info",
+    "timestamp_ntz'1994-06-01 00:00:00' + make_dt_interval(p_size) AS created_at",
+    "timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(p_size * 7) AS updated_at",
+)
+ORDERS = (
+    "o_orderkey AS order_id",
+    "o_custkey AS user_id",
+    f"{ORDERED_AT} AS order_date",
+    "cast(o_totalprice AS decimal(10,2)) AS total_amount",
+    "CASE o_orderstatus WHEN 'F' THEN if(o_orderkey % 2 = 0, 'completed', 'cancelled') "
+    "WHEN 'O' THEN if(o_orderkey % 2 = 0, 'pending', 'confirmed') "
+    "ELSE if(o_orderkey % 2 = 0, 'preparing', 'ready') END AS order_status",
+    "CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'wallet' WHEN o_orderpriority = '2-HIGH' THEN 'cash' "
+    "WHEN o_orderpriority = '3-MEDIUM' THEN 'upi' ELSE 'card' END AS payment_method",
+    "CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'failed' WHEN 2 THEN 'refunded' "
+    "ELSE 'completed' END AS payment_status",
+    "cast(NULL AS timestamp_ntz) AS estimated_ready_time",
+    "cast(NULL AS string) AS special_instructions",
+    f"{ORDERED_AT} AS created_at",
+    f"{ORDERED_AT} AS updated_at",
+)
+ORDER_ITEMS = (
+    "l_orderkey * 8 + l_linenumber AS order_item_id",
+    "l_orderkey AS order_id",
+    "l_partkey AS item_id",
+    "cast(l_quantity AS int) AS quantity",
+    "cast(cast(cast(cast(l_extendedprice AS decimal(10,2)) * 100 AS bigint) div cast(l_quantity AS bigint) "
+    "AS decimal(12,0)) * 0.01BD AS decimal(8,2)) AS unit_price",
+    "cast(l_extendedprice AS decimal(10,2)) AS subtotal",
+    "CASE WHEN l_returnflag = 'R' THEN 'no onions' END AS special_requests",
+)
 
 
 def retail_tables(spark: SparkSession, folder: str) -> Tables:
     """The snapshot behind the star schema in ``folder``."""
-    money, price = "decimal(10,2)", "decimal(8,2)"
-    customer = read_source(spark, folder, "customer")
-    part = read_source(spark, folder, "part")
-    header = read_source(spark, folder, "orders")
-    line = read_source(spark, folder, "lineitem")
 
-    signed_up = F.expr("timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(c_nationkey)")
-    users = customer.select(
-        F.col("c_custkey").alias("user_id"),
-        F.concat(F.lit("SRN"), F.col("c_custkey").cast("string")).alias("srn"),
-        F.col("c_name").alias("name"),
-        F.when(F.col("c_nationkey") == 13, F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example")))
-        .otherwise(F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")))
-        .alias("email"),
-        F.when(F.col("c_mktsegment") == "FURNITURE", F.lit(None).cast("string"))
-        .when(F.col("c_nationkey") == 7, F.lit("12345"))
-        .otherwise(F.lpad(F.col("c_custkey").cast("string"), 10, "0"))
-        .alias("phone"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("faculty"))
-        .when(F.col("c_mktsegment") == "MACHINERY", F.lit("staff"))
-        .otherwise(F.lit("student"))
-        .alias("user_type"),
-        (F.col("c_acctbal").cast(money) * F.lit(100).cast("decimal(3,0)")).cast(money).alias("wallet_balance"),
-        signed_up.alias("created_at"),
-        signed_up.alias("updated_at"),
-    )
+    def view(source: str, columns: tuple[str, ...]) -> Callable[[], DataFrame]:
+        return lambda: read_source(spark, folder, source).selectExpr(*columns)
 
-    categories = part.select("p_type").distinct().select(
-        category_key("p_type").alias("category_id"),
-        F.col("p_type").alias("category_name"),
-        F.lit(None).cast("string").alias("description"),
-        (F.col("p_type") != "ECONOMY").alias("is_active"),
-        F.expr("timestamp_ntz'1994-01-01 00:00:00'").alias("created_at"),
-    )
-
-    changed = F.expr("timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(p_size * 7)")
-    menu_items = part.select(
-        F.col("p_partkey").alias("item_id"),
-        category_key("p_type").alias("category_id"),
-        F.col("p_name").alias("item_name"),
-        F.col("p_brand").alias("description"),
-        F.col("p_retailprice").cast(price).alias("price"),
-        (F.col("p_size") - 2).alias("stock"),
-        ((F.col("p_size") > 2) & (F.col("p_brand") != "Brand#10")).alias("is_available"),
-        F.col("p_size").alias("preparation_time_minutes"),
-        F.lit(None).cast("string").alias("image_url"),
-        F.lit(None).cast("string").alias("nutritional_info"),
-        F.expr("timestamp_ntz'1994-06-01 00:00:00' + make_dt_interval(p_size)").alias("created_at"),
-        changed.alias("updated_at"),
-    )
-
-    even = F.col("o_orderkey") % 2 == 0
-    bucket = F.col("o_orderkey") % 5
-    ordered_at = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey * 37 % 86400)")
-    orders = header.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("user_id"),
-        ordered_at.alias("order_date"),
-        F.col("o_totalprice").cast(money).alias("total_amount"),
-        F.when(F.col("o_orderstatus") == "F", F.when(even, F.lit("completed")).otherwise(F.lit("cancelled")))
-        .when(F.col("o_orderstatus") == "O", F.when(even, F.lit("pending")).otherwise(F.lit("confirmed")))
-        .otherwise(F.when(even, F.lit("preparing")).otherwise(F.lit("ready")))
-        .alias("order_status"),
-        F.when(F.col("o_orderpriority").isin("1-URGENT", "5-LOW"), F.lit("wallet"))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("cash"))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("upi"))
-        .otherwise(F.lit("card"))
-        .alias("payment_method"),
-        F.when(bucket == 0, F.lit("pending"))
-        .when(bucket == 1, F.lit("failed"))
-        .when(bucket == 2, F.lit("refunded"))
-        .otherwise(F.lit("completed"))
-        .alias("payment_status"),
-        F.lit(None).cast("timestamp_ntz").alias("estimated_ready_time"),
-        F.lit(None).cast("string").alias("special_instructions"),
-        ordered_at.alias("created_at"),
-        ordered_at.alias("updated_at"),
-    )
-
-    cents = F.expr(
-        "CAST(CAST(l_extendedprice AS DECIMAL(10,2)) * 100 AS BIGINT) div CAST(l_quantity AS BIGINT)"
-    )
-    order_items = line.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("item_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        (cents.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(price).alias("unit_price"),
-        F.col("l_extendedprice").cast(money).alias("subtotal"),
-        F.when(F.col("l_returnflag") == "R", F.lit("no onions")).alias("special_requests"),
+    return Tables(
+        users=view("customer", USERS),
+        categories=lambda: read_source(spark, folder, "part").select("p_type").distinct().selectExpr(*CATEGORIES),
+        menu_items=view("part", MENU_ITEMS),
+        orders=view("orders", ORDERS),
+        order_items=view("lineitem", ORDER_ITEMS),
     )
-    return Tables(users, categories, menu_items, orders, order_items)
