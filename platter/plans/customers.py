@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import all_of, contains_text, yes_no
-from platter.plans.views import customer_totals, latest_first, paid, top, with_customer
+from platter.plans.views import customer_totals, latest_first, paid, top, top_joined, with_customer
 from platter.schema import TOTAL, Tables
 
 
@@ -28,9 +28,10 @@ def user_directory(t: Tables) -> DataFrame:
 def wallet_transactions(t: Tables, k: int | None = 10) -> DataFrame:
     """Orders paid, or to be paid, from a wallet."""
     orders = t.orders.where(F.col("payment_method") == "wallet")
-    return top(with_customer(orders, t.users, "name", "srn"), k, *latest_first("order_date", "order_id")).select(
-        "name", "srn", "order_id", "total_amount", "payment_status", "order_date"
+    newest = top_joined(
+        orders, latest_first("order_date", "order_id"), k, lambda o: with_customer(o, t.users, "name", "srn")
     )
+    return newest.select("name", "srn", "order_id", "total_amount", "payment_status", "order_date")
 
 
 def top_customers(t: Tables, k: int | None = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import all_of, contains_text, money_sum, status_label
-from platter.plans.views import SUMMARY, latest_first, order_summary, top, with_category, with_customer
+from platter.plans.views import SUMMARY, latest_first, order_summary, top_joined, with_category, with_customer
 from platter.schema import PENDING_NARROW, TERMINAL, Tables
 
 
@@ -85,21 +85,19 @@ def order_lines(t: Tables, ids: DataFrame) -> DataFrame:
 def line_detail(t: Tables, k: int | None = 10) -> DataFrame:
     """Lines with order, customer, item and category, the latest orders first."""
     lines = t.order_items.select("order_item_id", "order_id", "item_id", "quantity", "unit_price", "subtotal")
-    headers = t.orders.select("order_id", "user_id", "order_date", "order_status")
     customers = t.users.select("user_id", F.col("name").alias("customer_name"), "srn")
     items = t.menu_items.select("item_id", "item_name", "category_id")
-    joined = with_category(
-        lines.join(headers, "order_id").join(customers, "user_id").join(items, "item_id"), t.categories
-    )
-    return top(
-        joined,
+
+    def detailed(orders: DataFrame) -> DataFrame:
+        joined = lines.join(orders, "order_id").join(customers, "user_id").join(items, "item_id")
+        return with_category(joined, t.categories)
+
+    return top_joined(
+        t.orders.select("order_id", "user_id", "order_date", "order_status"),
+        latest_first("order_date", "order_id"),
         k,
-        F.col("order_date").desc(),
-        F.col("order_id"),
-        F.col("order_item_id"),
-        F.col("item_id"),
-        F.col("quantity"),
-        F.col("subtotal"),
+        detailed,
+        then=[F.col(c) for c in ("order_item_id", "item_id", "quantity", "subtotal")],
     ).select(
         "order_id",
         "customer_name",
@@ -150,18 +148,20 @@ def hourly_pattern(t: Tables) -> DataFrame:
 def pending_wallet_orders(t: Tables, k: int | None = 5) -> DataFrame:
     """Wallet orders that are still to be paid, with the balance they would draw on."""
     orders = t.orders.where((F.col("payment_method") == "wallet") & (F.col("payment_status") == "pending"))
-    return top(with_customer(orders, t.users, "name", "wallet_balance"), k, F.col("order_id")).select(
-        "order_id", "name", "total_amount", "wallet_balance"
+    first = top_joined(
+        orders, [F.col("order_id")], k, lambda o: with_customer(o, t.users, "name", "wallet_balance")
     )
+    return first.select("order_id", "name", "total_amount", "wallet_balance")
 
 
 def cancelled_orders(t: Tables, k: int | None = 10) -> DataFrame:
     """Cancelled orders, the latest change first."""
     orders = t.orders.where(F.col("order_status") == "cancelled")
-    joined = with_customer(orders, t.users.withColumnRenamed("name", "customer_name"), "customer_name")
-    return top(joined, k, *latest_first("updated_at", "order_id")).select(
-        "order_id", "customer_name", "total_amount", "order_status", "updated_at"
+    users = t.users.withColumnRenamed("name", "customer_name")
+    newest = top_joined(
+        orders, latest_first("updated_at", "order_id"), k, lambda o: with_customer(o, users, "customer_name")
     )
+    return newest.select("order_id", "customer_name", "total_amount", "order_status", "updated_at")
 
 
 _LATEST = ("order_id", "order_date", "total_amount", "order_status", "payment_method", "payment_status")

@@ -10,7 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import mean, money_sum, on_day
-from platter.plans.views import count_where, latest_first, order_summary, paid, popular_items, side_by_side, top
+from platter.plans.views import (
+    count_where,
+    latest_first,
+    paid,
+    popular_items,
+    side_by_side,
+    summarised,
+    top,
+    top_joined,
+)
 from platter.schema import LOW_STOCK, PENDING_NARROW, PENDING_WIDE, TOTAL, Tables
 
 # Table labels as they are shown.
@@ -112,9 +121,8 @@ def user_counts(t: Tables) -> DataFrame:
 
 def recent_orders(t: Tables, k: int = 5) -> DataFrame:
     """The latest orders."""
-    return top(order_summary(t), k, *latest_first("order_date", "order_id")).select(
-        "order_id", "customer_name", "total_amount", "order_status", "order_date"
-    )
+    newest = top_joined(t.orders, latest_first("order_date", "order_id"), k, lambda o: summarised(o, t.users))
+    return newest.select("order_id", "customer_name", "total_amount", "order_status", "order_date")
 
 
 def recent_paid_revenue(t: Tables) -> DataFrame:
@@ -124,9 +132,9 @@ def recent_paid_revenue(t: Tables) -> DataFrame:
 
 def table_sample(t: Tables, table: str, k: int = 5) -> DataFrame:
     """The first ``k`` rows of a table or view by its key."""
-    views = {"order_summary": (order_summary, "order_id"), "popular_items": (popular_items, "item_id")}
-    if table in views:
-        build, key = views[table]
-        return top(build(t), k, F.col(key))
+    if table == "order_summary":
+        return top_joined(t.orders, [F.col("order_id")], k, lambda o: summarised(o, t.users))
+    if table == "popular_items":
+        return top(popular_items(t), k, F.col("item_id"))
     frame = getattr(t, table)
     return top(frame, k, F.col(frame.columns[0]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,39 @@ def top(df: DataFrame, k: int | None, *order: Column | str) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
+# Up to this many rows a top-k report ranks its facts before it joins them.
+SMALL_TOP = 1000
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """A few rows as a local frame, whose size the planner knows."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def top_joined(
+    facts: DataFrame,
+    order: Sequence[Column],
+    k: int | None,
+    attach: Callable[[DataFrame], DataFrame],
+    then: Sequence[Column] = (),
+) -> DataFrame:
+    """The first ``k`` rows of ``attach(facts)`` by ``order`` of the facts, ``then`` by what was attached.
+
+    The first ``k`` facts are found by a scan without a shuffle, and only they
+    are attached.  That is the answer if it fills ``k`` rows, since every
+    other fact ranks behind them, or if there are no other facts.  Facts that
+    attach to nothing may leave it short; then the whole join decides.
+    """
+    order = list(order)
+    if k is None or k > SMALL_TOP:
+        return top(attach(facts), k, *order, *then)
+    first = _held(facts.orderBy(*order).limit(k))
+    head = _held(attach(first).orderBy(*order, *then).limit(k))
+    if head.count() >= k or first.count() < k:
+        return head.orderBy(*order, *then)
+    return top(attach(facts), k, *order, *then)
+
+
 def latest_first(column: str, key: str) -> tuple[Column, Column]:
     return F.col(column).desc(), F.col(key).asc()
 
@@ -48,10 +83,16 @@ def with_category(items: DataFrame, categories: DataFrame) -> DataFrame:
     return items.join(categories.select("category_id", "category_name"), "category_id")
 
 
+def summarised(orders: DataFrame, users: DataFrame) -> DataFrame:
+    """Orders in the columns of the order summary."""
+    return with_customer(orders, users.withColumnRenamed("name", "customer_name"), "customer_name", "srn").select(
+        *SUMMARY
+    )
+
+
 def order_summary(t: Tables) -> DataFrame:
     """Every order with its customer."""
-    joined = with_customer(t.orders, t.users.withColumnRenamed("name", "customer_name"), "customer_name", "srn")
-    return joined.select(*SUMMARY)
+    return summarised(t.orders, t.users)
 
 
 def item_totals(lines: DataFrame) -> DataFrame:
