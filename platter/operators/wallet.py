@@ -71,17 +71,23 @@ def _fold(debits: DataFrame) -> DataFrame:
 def _phase(debits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Settle long groups up to the point where less than half their funds are left.
 
-    Call a debit large if it exceeds half the funds.  Until the funds drop
-    below half, every small debit fits.  They drop at the first small debit
-    whose running sum passes half, or the first large debit that fits on top
-    of the small ones before it, whichever comes first; every large debit
-    before that point does not fit.  Returns what is settled, and the debits
-    behind that point with the funds left there.
+    ``debits`` also carries the ``largest`` open debit of the user.  While
+    that is at most half the funds, every debit fits until the funds drop
+    below it.  Otherwise call a debit large if it exceeds half the funds:
+    until the funds drop below half, every small debit fits, and they drop at
+    the first small debit whose running sum passes half, or at the first
+    large debit that fits on top of the small ones before it; the large
+    debits before that point do not fit.  Returns what is settled, and the
+    debits behind that point with the funds left there.
     """
-    amount, funds, spent = F.col("amount"), F.col("funds"), F.col("spent")
-    small = amount * 2 <= funds
-    summed = stored(running(debits, "user_id", "sum", F.when(small, amount), "spent", split=True), "phase")
-    turning = F.when(small, spent * 2 > funds).otherwise(amount + spent <= funds)
+    amount, funds, spent, largest = F.col("amount"), F.col("funds"), F.col("spent"), F.col("largest")
+    roomy = largest * 2 <= funds
+    small = roomy | (amount * 2 <= funds)
+    summed = stored(
+        running(debits, "user_id", "sum", F.when(small, amount), "spent", split=True), "phase"
+    )
+    low = F.when(roomy, spent + largest > funds).otherwise(spent * 2 > funds)
+    turning = F.when(small, low).otherwise(amount + spent <= funds)
     left = (funds - spent - F.when(small, F.lit(0)).otherwise(amount)).cast(_MONEY)
     turns = (
         summed.where(turning)
@@ -118,7 +124,9 @@ def settle_debits(debits: DataFrame, fold_rows: int = FOLD_ROWS, split: bool = T
     while True:
         settled.append(debits.where(amount > funds).select("position", F.lit(False).alias("granted")))
         payable = debits.where(amount <= funds)
-        per_user = payable.groupBy("user_id").agg(F.count("*").alias("_debits"), F.sum("amount").alias("_due"))
+        per_user = payable.groupBy("user_id").agg(
+            F.count("*").alias("_debits"), F.sum("amount").alias("_due"), F.max("amount").alias("largest")
+        )
         sized = stored(look_up(payable, "user_id", per_user, split), "debits")
         affordable = F.col("_due") <= funds
         settled.append(sized.where(affordable).select("position", F.lit(True).alias("granted")))

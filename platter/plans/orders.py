@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import all_of, contains_text, money_sum, status_label
@@ -119,18 +119,25 @@ def status_distribution(t: Tables) -> DataFrame:
     )
 
 
+def _payment_figures() -> tuple[Column, Column]:
+    return F.count("*").alias("n"), money_sum("total_amount").alias("total_amount")
+
+
 def payment_breakdown(t: Tables) -> DataFrame:
     """Orders and amount per payment status and method."""
     return (
         t.orders.groupBy("payment_status", "payment_method")
-        .agg(F.count("*").alias("n"), money_sum("total_amount").alias("total_amount"))
+        .agg(*_payment_figures())
         .orderBy(F.col("total_amount").desc(), "payment_status", "payment_method")
     )
 
 
 def payment_hierarchy(t: Tables) -> DataFrame:
-    """The same with a total per payment status and a grand total (null keys)."""
-    cells = payment_breakdown(t)
+    """The same with a total per payment status and a grand total (null keys).
+
+    The orders are summed to the few cells first, and only those are rolled up.
+    """
+    cells = t.orders.groupBy("payment_status", "payment_method").agg(*_payment_figures())
     return cells.rollup("payment_status", "payment_method").agg(
         F.sum("n").cast("bigint").alias("n"), money_sum("total_amount").alias("total_amount")
     )
