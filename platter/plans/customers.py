@@ -69,17 +69,20 @@ def user_type_stats(t: Tables) -> DataFrame:
 def above_average_spenders(t: Tables) -> DataFrame:
     """Users who paid more in total than the mean paid order.
 
-    The mean comes from the per-user sums, and the comparison is made on
-    whole decimals (spent x orders > amount) instead of a rounded mean.
+    The comparison is made on whole decimals (spent x orders > amount)
+    instead of a rounded mean.
     """
-    per_user = customer_totals(paid(t.orders))
-    overall = per_user.agg(
-        F.sum("total_spent").cast("decimal(24,2)").alias("amount"), F.sum("order_count").alias("orders")
-    )
-    amount = overall.select("amount").scalar()
-    orders = overall.select("orders").scalar()
+    orders = paid(t.orders)
+    overall = orders.agg(
+        F.struct(
+            F.sum("total_amount").cast("decimal(24,2)").alias("amount"),
+            F.count("*").cast("decimal(16,0)").alias("orders"),
+        ).alias("overall")
+    ).scalar()
     return (
-        per_user.where(F.col("total_spent") * orders.cast("decimal(16,0)") > amount)
+        customer_totals(orders)
+        .withColumn("overall", overall)
+        .where(F.col("total_spent") * F.col("overall.orders") > F.col("overall.amount"))
         .join(t.users.select("user_id", "name", "srn"), "user_id")
         .orderBy(F.col("total_spent").desc(), "user_id")
         .select("name", "srn", "total_spent")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from platter.functions.expressions import money_sum
 from platter.schema import Tables
+from platter.session import held
 
 SUMMARY = (
     "order_id",
@@ -36,11 +37,6 @@ def top(df: DataFrame, k: int | None, *order: Column | str) -> DataFrame:
 SMALL_TOP = 1000
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """A few rows as a local frame, whose size the planner knows."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
-
-
 def top_joined(
     facts: DataFrame,
     order: Sequence[Column],
@@ -58,10 +54,10 @@ def top_joined(
     order = list(order)
     if k is None or k > SMALL_TOP:
         return top(attach(facts), k, *order, *then)
-    first = _held(facts.orderBy(*order).limit(k))
-    head = _held(attach(first).orderBy(*order, *then).limit(k))
+    first = held(facts.orderBy(*order).limit(k))
+    head = held(attach(first).orderBy(*order, *then).limit(k))
     if head.count() >= k or first.count() < k:
-        return head.orderBy(*order, *then)
+        return top(head, k, *order, *then)
     return top(attach(facts), k, *order, *then)
 
 

@@ -61,3 +61,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A few rows as a local frame, whose size the planner knows."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def held_if_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A derived frame as a local one if it has at most ``limit`` rows, else as it is.
+
+    The planner takes a derived frame to be as large as what it is derived
+    from, and would shuffle facts to join it.
+    """
+    few = df.limit(limit + 1).toArrow()
+    return df if few.num_rows > limit else df.sparkSession.createDataFrame(few, df.schema)

@@ -3,7 +3,8 @@
 Customers become users, parts become menu items, part types become
 categories, order headers and lines keep their roles.  Every column is
 computed from its own row, so reading through the adapter adds no join and
-no shuffle, and unused columns are not read.
+no shuffle, and unused columns are not read.  Only the categories are a
+distinct list; a short one is kept as a local frame once it is needed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from platter.schema import Tables
+from platter.session import held_if_small
 
 # Columns of the source tables, so that opening one needs no inference job.
 SOURCE_SCHEMAS = {
@@ -107,7 +109,9 @@ def retail_tables(spark: SparkSession, folder: str) -> Tables:
 
     return Tables(
         users=view("customer", USERS),
-        categories=lambda: read_source(spark, folder, "part").select("p_type").distinct().selectExpr(*CATEGORIES),
+        categories=lambda: held_if_small(
+            read_source(spark, folder, "part").select("p_type").distinct().selectExpr(*CATEGORIES)
+        ),
         menu_items=view("part", MENU_ITEMS),
         orders=view("orders", ORDERS),
         order_items=view("lineitem", ORDER_ITEMS),
