@@ -155,12 +155,14 @@ def test_first_come_against_one_by_one(spark):
     rng = random.Random(7)
     rows = [(i, f"s{rng.randrange(12)}", f"e{rng.randrange(12)}") for i in range(120)]
     got_in, turned = people.first_come(spark.createDataFrame(rows, "position bigint, _srn string, _email string"), ("_srn", "_email"))
-    srns, emails, want = set(), set(), []
+    srns, emails, want, late = set(), set(), [], []
     for i, s, e in rows:
         if s not in srns and e not in emails:
             srns.add(s), emails.add(e), want.append(i)
+        else:
+            late.append((i, "_srn" if s in srns else "_email"))
     assert [r[0] for r in values(got_in)] == want
-    assert [r[0] for r in values(turned, "position")] == sorted(set(range(120)) - set(want))
+    assert values(turned, "position", "key") == late
 
 
 def test_insert_items(spark, seed):
