@@ -218,7 +218,8 @@ FEEDS: dict[str, tuple[Job, str]] = {
     "src7_insert_defaults": (
         _conformed,
         over_model(
-            "SELECT item_id, 10 AS stock, TRUE AS is_available, 10 AS preparation_time_minutes FROM m_menu"
+            "SELECT CAST(item_id AS INTEGER) AS item_id, 10 AS stock, TRUE AS is_available, "
+            "10 AS preparation_time_minutes FROM m_menu"
         ),
     ),
     "fn4_sql_functions": (

@@ -760,7 +760,7 @@ JOBS: dict[str, tuple[Job, str]] = {
             SELECT item_id, category_id, item_name, price, stock, is_available, preparation_time_minutes FROM m_menu
             UNION ALL
             SELECT (SELECT MAX(item_id) FROM m_menu) + row_number() OVER (ORDER BY request_id),
-                   category_id, item_name, price, stock, TRUE, preparation_time_minutes
+                   category_id, item_name, CAST(price AS DECIMAL(8,2)), stock, TRUE, preparation_time_minutes
             FROM judged WHERE reason IS NULL
             """,
             *NEW_ITEMS,

@@ -59,7 +59,8 @@ def place_orders(
             & (F.coalesce("_balance", F.lit(0)) < total),
         },
     )
-    numbered = with_position(accepted.drop("_user", "_orderable", "_stock", "_balance"), "request_id", chunk_rows=chunk_rows)
+    accepted = accepted.drop("_user", "_orderable", "_stock", "_balance")
+    numbered = with_position(accepted, "request_id", chunk_rows=chunk_rows)
     placed = derive_subtotal(numbered).withColumns(
         {
             "order_id": F.col("position") + next_id(t.orders, "order_id"),

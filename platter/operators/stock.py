@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import message
-from platter.operators.base import Outcome, changed, fit_to, judge, refused, stamp
-from platter.schema import Tables
+from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
+from platter.operators.sequence import with_position
+from platter.schema import DEFAULTS, Tables
 
 
 def enforce_availability(menu: DataFrame, as_of: object | None = None) -> DataFrame:
@@ -151,16 +152,14 @@ def restore_items(t: Tables, item_ids: DataFrame, as_of: object | None = None) -
     return Outcome(t.with_(menu_items=menu), rejected.select("item_id", "reason"))
 
 
-def insert_menu_items(t: Tables, new: DataFrame, as_of: object | None = None, order: Sequence[str] = ("request_id",)) -> Outcome:
+def insert_menu_items(
+    t: Tables, new: DataFrame, as_of: object | None = None, order: Sequence[str] = ("request_id",)
+) -> Outcome:
     """Add menu items; refuses missing names, unknown categories and figures off the form.
 
     A new item may be available without stock: availability is only enforced
     when an item changes.
     """
-    from platter.operators.sequence import with_position
-    from platter.operators.base import next_id
-    from platter.schema import DEFAULTS
-
     filled = new
     for column, value in DEFAULTS["menu_items"].items():
         present = F.col(column) if column in new.columns else F.lit(None)

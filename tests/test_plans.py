@@ -37,8 +37,9 @@ def test_top_k_keeps_k_rows_per_task(retail):
 def test_scans_read_the_needed_columns_and_filters(retail, spark):
     text = plan(customers.top_customers(retail))
     assert "o_orderdate" not in text and "c_acctbal" not in text
-    spark_filter = plan(menu.active_categories(retail))
-    assert "p_type" in spark_filter and "p_name" not in spark_filter
+    text = plan(menu.low_stock(retail))
+    assert "p_size" in text and "p_retailprice" not in text
+    assert "LocalTableScan" in plan(menu.active_categories(retail))
 
 
 def test_kpis_scan_orders_once_without_joins(retail):
