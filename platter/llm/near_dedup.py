@@ -11,12 +11,18 @@ order in both texts, over all shingles of both less the chain. Chains lie in a b
 diagonal; whoever leaves it has too many unmatched shingles to reach the threshold, so the band
 changes no verdict. ``SIMILAR`` or more makes a link.
 
-Equal texts (same words) become one node first, so groups of copies cost nothing later. In a
-bucket only nodes of different classes are still to be compared. Each round compares the members
-with 8 times as many anchors as the round before (first the least node, then a part of the bucket
-chosen by the node's hash), and merges classes; a bucket is done when it is one class or when all its members have
-been anchors. Near copies end in one class in the first rounds, so a large group is not
-compared pair by pair; and no pair of a bucket is left out that could still join two classes.
+Equal texts (same words) become one node first, so groups of copies cost nothing later. Each
+bucket compares its members with one anchor, the node that meets most others in all its buckets:
+in a group of near copies that is the text they come from, or close to it, and the group becomes
+one class without being compared pair by pair. From then on only nodes of different classes are
+compared. Buckets of up to ``FEW`` members are compared in full. In larger buckets that still hold
+several classes only pairs can be similar that differ from the anchor in the same shingles: with
+D(x) the shingles that only one of x and the anchor has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|
+shingles, and two texts that are not both similar to the anchor need a part of D in common. So the members
+meet again by the elements of D, and only if each shares enough of them with other classes; this is
+exact. Under each element they meet ``ANCHORS`` anchors, then 8 times as many, until it holds one class or
+all its members have been anchors. Edits made once, and whatever stands around one frequent
+passage, bring no texts together, and no pair that could still join two classes is left out.
 Before an alignment, pairs are held against samples of ``SIGNATURE`` least shingles: if the share
 they agree on is under ``ROUGH``, the chance of a similarity of 0.8 is below one in a million.
 
@@ -50,7 +56,8 @@ SAMPLED = 5
 SKETCHES = 32
 SIGNATURE = 64
 ROUGH = 0.6
-ANCHORS = 8
+ANCHORS = 4
+FEW = 8
 
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix64(_SEEDS) | np.uint64(1)
@@ -217,44 +224,97 @@ def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similar: float)
     return with_both(rough, texts).mapInArrow(_passing(aligned, similar - 1e-9), "a bigint, b bigint")
 
 
+def _open_groups(groups: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """The rows of ``groups`` (key, node, ...) whose key has several classes, with the class as ``root``."""
+    now = groups.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return now.join(mixed.select("key"), "key", "left_semi")
+
+
+def _pairs(anchors: DataFrame, members: DataFrame, similar: float) -> DataFrame:
+    """Pairs of an anchor and a member of its group that are of different classes and may be similar.
+
+    A row tells ``differs``, the size of its set in the group, and ``shared``, how much of that another class
+    may have too; sets differ in no less than both sizes without twice the smaller shared part.
+    """
+    columns = ("node", "size", "differs", "shared", "root")
+    left = anchors.select("key", *[F.col(c).alias(f"a_{c}") for c in columns]).withColumnRenamed("a_node", "a")
+    right = members.select("key", *[F.col(c).alias(f"b_{c}") for c in columns]).withColumnRenamed("b_node", "b")
+    most = (1 - similar) / (1 + similar) * (F.col("a_size") + F.col("b_size")) + 1e-6
+    near = F.col("a_differs") + F.col("b_differs") - 2 * F.least("a_shared", "b_shared") <= most
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & (F.col("a_root") != F.col("b_root")) & near)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(key, node, size, differs, shared): members of large groups by what tells them from their anchor.
+
+    ``crowd``: node, anchor, root. A key is an anchor and a shingle that only one of it and the node has.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own, base = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in (3, 4))
+                apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(own, base)]
+                columns = [pa.array(list(map(len, own)), pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["node", "anchor", "root", "size", "apart"])
+
+    of_anchor = texts.select(F.col("node").alias("anchor"), F.col("shingles").alias("base"))
+    both = crowd.join(texts, "node").join(of_anchor, "anchor").select("node", "anchor", "root", "shingles", "base")
+    apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, apart array<bigint>")
+    apart = stored(apart, "apart")
+    each = apart.select("node", "anchor", "root", "size", F.size("apart").alias("differs"), F.explode("apart").alias("e"))
+    each = each.withColumn("key", F.xxhash64("anchor", "e"))
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
+    often = often.where("low <> high").select("key", "members")
+    met = each.join(often, "key").groupBy("node", "anchor", "size", "differs").agg(F.collect_list(F.struct("key", "members")).alias("met"))
+    shared = F.size("met")
+    least = F.greatest(F.lit(1.0), (F.col("differs") + 1 - (1 - similar) / similar * F.col("size")) / 2 - 1e-6)
+    return met.where(shared >= least).select("node", "size", "differs", shared.alias("shared"), F.inline("met"))
+
+
 def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:
     """(node, root) of the nodes that have links; ``nodes``: node, id, size, keys, sign."""
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("least")).where("members > 1")
-    buckets = stored(keyed.join(shared, "key"), "buckets")
+    keyed = nodes.select("node", "size", F.col("size").alias("differs"), F.col("size").alias("shared"), F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = stored(keyed.join(several, "key"), "buckets")
     if buckets.isEmpty():
         return None
-    active = buckets.select("node").distinct()
-    signs = stored(nodes.select("node", "id", "sign").join(active, "node", "left_semi"), "signatures")
+    known = stored(buckets.groupBy("node").agg(F.sum("members").alias("meets")), "active")
+    signs = stored(nodes.select("node", "id", "sign").join(known, "node", "left_semi"), "signatures")
     texts = stored(texts_of(signs.select("node", "id")), "shingles")
     signs = signs.select("node", "sign")
-    #: Sizes of similar texts can't differ by more than this factor.
-    near = F.col("size").between(F.col("a_size") * similar - 1e-6, F.col("a_size") / similar + 1e-6)
-    first = buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), "size").distinct()
-    sizes = nodes.select(F.col("node").alias("a"), F.col("size").alias("a_size"))
-    first = first.join(sizes, "a").where(near).select("a", "b")
-    whole = merge(None, stored(_links(first, signs, texts, similar), "links"))
+
+    def linked(pairs: DataFrame, whole: DataFrame | None) -> DataFrame:
+        links = stored(_links(pairs, signs, texts, similar), "links")
+        return merge(whole, links) if whole is None or not links.isEmpty() else whole
+
+    alone = buckets.withColumn("root", F.col("node"))
+    best = buckets.join(known, "node").groupBy("key").agg(F.max(F.struct("meets", "node", "size")).alias("best"))
+    best = stored(best.select("key", F.col("best.node").alias("anchor"), "best.size"), "anchors")
+    whole_size = [F.col("size").alias(c) for c in ("differs", "shared")]
+    whole = linked(_pairs(best.select("key", F.col("anchor").alias("node"), "size", *whole_size, F.col("anchor").alias("root")), alone, similar), None)
+    few = stored(_open_groups(buckets.where(F.col("members").between(3, FEW)), whole), "few")
+    if not few.isEmpty():
+        whole = linked(_pairs(few, few, similar), whole)
+    crowd = _open_groups(buckets.where(F.col("members") > FEW), whole).join(best.select("key", "anchor"), "key")
+    crowd = stored(crowd.select("node", "anchor", "root").distinct(), "crowd")
+    if crowd.isEmpty():
+        return whole
+    lists = stored(_differences(crowd, texts, similar), "differences")
     unit = F.col("node").cast("double") / float(1 << 63)
-    tried = 0
+    tried, wanted = 0, ANCHORS
     while True:
-        #: The members with their classes, in buckets that have several and were not compared in full.
-        now = buckets.where(F.col("members") > max(tried, 2)).join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        parts = stored(now.join(parts, "key", "left_semi"), "open-buckets")
-        if parts.isEmpty():
+        mixed = stored(_open_groups(lists.where(F.col("members") > tried), whole), "open")
+        if mixed.isEmpty():
             return whole
-        wanted = ANCHORS * max(tried, 1)
         fresh = (unit * F.col("members") < wanted) | (F.col("members") <= wanted)
         if tried:
             fresh &= unit * F.col("members") >= tried
-        anchors = parts.where(fresh).select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-        others = parts.select("key", F.col("node").alias("b"), "size", F.col("root").alias("b_root"))
-        on = (anchors["key"] == others["key"]) & (F.col("a") != F.col("b")) & (F.col("a_root") != F.col("b_root")) & near
-        pairs = anchors.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = stored(_links(pairs, signs, texts, similar), "links")
-        if not links.isEmpty():
-            whole = merge(whole, links)
-        tried = wanted
+        whole = linked(_pairs(mixed.where(fresh), mixed, similar), whole)
+        tried, wanted = wanted, 8 * wanted
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str):
