@@ -19,8 +19,8 @@ compared. Buckets of up to ``FEW`` members are compared in full. In larger bucke
 several classes only pairs can be similar that differ from the anchor in the same shingles: with
 D(x) the shingles that only one of x and the anchor has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|
 shingles, and two texts that are not both similar to the anchor need a part of D in common. So the members
-meet again by the elements of D, and only if each shares enough of them with other classes; this is
-exact. Under each element they meet ``ANCHORS`` anchors, then 8 times as many, until it holds one class or
+meet again by the rarest elements of D, and only if each shares enough of them with other classes. That is
+exact but for texts with the anchor's shingles in another order, which only meet anchors. Under each element they meet ``ANCHORS`` anchors, then 8 times as many, until it holds one class or
 all its members have been anchors. Edits made once, and whatever stands around one frequent
 passage, bring no texts together, and no pair that could still join two classes is left out.
 Before an alignment, pairs are held against samples of ``SIGNATURE`` least shingles: if the share
@@ -258,21 +258,29 @@ def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFram
                 part = batch.slice(at, 512)
                 own, base = ([np.frombuffer(x, np.uint64) for x in part.column(c).to_pylist()] for c in (3, 4))
                 apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(own, base)]
-                columns = [pa.array(list(map(len, own)), pa.int32()), pa.array(apart, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *columns], names=["node", "anchor", "root", "size", "apart"])
+                columns = [*(pa.array(list(map(len, x)), pa.int32()) for x in (own, base)), pa.array(apart, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["node", "anchor", "root", "size", "base", "apart"])
 
     of_anchor = texts.select(F.col("node").alias("anchor"), F.col("shingles").alias("base"))
     both = crowd.join(texts, "node").join(of_anchor, "anchor").select("node", "anchor", "root", "shingles", "base")
-    apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, apart array<bigint>")
+    apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, base int, apart array<bigint>")
     apart = stored(apart, "apart")
-    each = apart.select("node", "anchor", "root", "size", F.size("apart").alias("differs"), F.explode("apart").alias("e"))
+    each = apart.select("node", "anchor", "root", "size", "base", F.size("apart").alias("differs"), F.explode("apart").alias("e"))
     each = each.withColumn("key", F.xxhash64("anchor", "e"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
     often = often.where("low <> high").select("key", "members")
-    met = each.join(often, "key").groupBy("node", "anchor", "size", "differs").agg(F.collect_list(F.struct("key", "members")).alias("met"))
-    shared = F.size("met")
-    least = F.greatest(F.lit(1.0), (F.col("differs") + 1 - (1 - similar) / similar * F.col("size")) / 2 - 1e-6)
-    return met.where(shared >= least).select("node", "size", "differs", shared.alias("shared"), F.inline("met"))
+    met = each.join(often, "key").groupBy("node", "anchor", "size", "base", "differs")
+    met = met.agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("met"))
+    #: The part of D that a similar text of another class has at least. A text near its anchor can only meet one that is not.
+    apart_most = (1 - similar) / (1 + similar)
+    close = F.col("differs") <= apart_most * (F.col("size") + F.col("base"))
+    least = F.when(close, F.col("differs") + (F.col("base") - F.col("size")) * apart_most).otherwise(
+        F.col("differs") + 1 - (1 - similar) / similar * F.col("size")
+    )
+    least = F.greatest(F.lit(1), F.ceil(least / 2 - 1e-6)).cast("int")
+    #: Rare ones first, two texts with that much in common share one of the first of each.
+    first = F.slice("met", 1, F.greatest(F.size("met") - least + 1, F.lit(0)))
+    return met.select("node", "size", "differs", F.size("met").alias("shared"), F.inline(first)).select("key", "node", "size", "differs", "shared", "members")
 
 
 def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:
