@@ -53,7 +53,7 @@ def exact_dedup(
         heads = stored(rows.select("id", "size", "start", _digest(F.col("body")).alias("sha")), "exact-heads")
     else:
         heads = stored(rows.select("size", "start"), "exact-heads")
-    same_size = heads.join(_shared(heads, "size"), "size", "left_semi")
+    same_size = heads.join(stored(_shared(heads, "size"), "exact-sizes"), "size", "left_semi")
     same_start = stored(_shared(same_size, "size", "start"), "exact-starts")
     if digests:
         prints = heads
