@@ -27,12 +27,14 @@ def wallet_balances(users: DataFrame, keys: DataFrame) -> DataFrame:
 
 def order_totals(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """order_id -> sum of its line subtotals, 0.00 without lines."""
+    lines = lines.join(keys.select("order_id"), "order_id", "left_semi")
     totals = lines.groupBy("order_id").agg(money_sum("subtotal").alias("order_total"))
     return _answer(keys, "order_id", totals, "order_total")
 
 
 def item_sales(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """item_id -> sum of its line subtotals over all orders, 0.00 when unsold."""
+    lines = lines.join(keys.select("item_id"), "item_id", "left_semi")
     totals = lines.groupBy("item_id").agg(money_sum("subtotal").alias("total_sales"))
     return _answer(keys, "item_id", totals, "total_sales")
 

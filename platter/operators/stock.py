@@ -67,8 +67,10 @@ def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Ou
 
     Modes are ``add``, ``set`` and ``reduce``.  A batch holds one request per
     item; several for the same item are all refused, since their order would
-    decide the result.
+    decide the result.  A request without an item is refused as not found.
     """
+    nowhere = refused(requests.where(F.col("item_id").isNull()), "item_not_found")
+    requests = requests.where(F.col("item_id").isNotNull())
     fields = [c for c in requests.columns if c != "item_id"]
     per_item = requests.groupBy("item_id").agg(
         F.count("*").alias("_requests"), F.min(F.struct(*fields)).alias("_first")
@@ -104,7 +106,7 @@ def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Ou
     ).select(*t.menu_items.columns)
     rejects = rejected.select(*requests.columns, "reason").unionByName(
         refused(repeated.select(*requests.columns), "duplicate_request")
-    )
+    ).unionByName(nowhere)
     return Outcome(t.with_(menu_items=menu), rejects)
 
 

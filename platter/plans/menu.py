@@ -205,7 +205,7 @@ def unavailable_items(t: Tables, k: int | None = 10) -> DataFrame:
 
 
 def order_preview(requests: DataFrame, menu: DataFrame) -> DataFrame:
-    """What each requested (item_id, quantity) would cost at today's price."""
-    return requests.join(menu.select("item_id", "price"), "item_id").withColumn(
+    """What each requested (item_id, quantity) would cost at today's price; null for an unknown item."""
+    return requests.join(menu.select("item_id", "price"), "item_id", "left").withColumn(
         "order_total", line_amount("price", "quantity")
     )
