@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from platter.functions.expressions import money_sum
 from platter.schema import Tables
-from platter.session import held
 
 SUMMARY = (
     "order_id",
@@ -33,10 +32,6 @@ def top(df: DataFrame, k: int | None, *order: Column | str) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-# Up to this many rows a top-k report ranks its facts before it joins them.
-SMALL_TOP = 1000
-
-
 def top_joined(
     facts: DataFrame,
     order: Sequence[Column],
@@ -48,17 +43,19 @@ def top_joined(
 
     The first ``k`` facts are found by a scan without a shuffle, and only they
     are attached.  That is the answer if it fills ``k`` rows, since every
-    other fact ranks behind them, or if there are no other facts.  Facts that
-    attach to nothing may leave it short; then the whole join decides.
+    other fact ranks behind them.  Facts that attach to nothing may leave it
+    short; then the whole join decides.  Which of the two it is, a scalar
+    subquery of the same plan tells: otherwise no fact reaches the second join.
     """
     order = list(order)
-    if k is None or k > SMALL_TOP:
+    if k is None:
         return top(attach(facts), k, *order, *then)
-    first = held(facts.orderBy(*order).limit(k))
-    head = held(attach(first).orderBy(*order, *then).limit(k))
-    if head.count() >= k or first.count() < k:
-        return top(head, k, *order, *then)
-    return top(attach(facts), k, *order, *then)
+    head = attach(facts.orderBy(*order).limit(k))
+
+    def short() -> Column:
+        return head.agg((F.count("*") < k).alias("short")).scalar()
+
+    return top(head.where(~short()).unionByName(attach(facts.where(short()))), k, *order, *then)
 
 
 def latest_first(column: str, key: str) -> tuple[Column, Column]:

@@ -63,11 +63,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """A few rows as a local frame, whose size the planner knows."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
-
-
 def held_if_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """A derived frame as a local one if it has at most ``limit`` rows, else as it is.
 
