@@ -16,7 +16,7 @@ m_users AS (
          TIMESTAMP '1994-01-01 00:00:00' + to_days(c_nationkey) AS updated_at
   FROM customer),
 m_categories AS (
-  SELECT CAST('0x' || substr(md5(p_type), 1, 7) AS INTEGER) AS category_id,
+  SELECT CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) AS category_id,
          p_type AS category_name,
          CAST(NULL AS VARCHAR) AS description,
          p_type <> 'ECONOMY' AS is_active,
@@ -24,7 +24,7 @@ m_categories AS (
   FROM (SELECT DISTINCT p_type FROM part) kinds),
 m_menu AS (
   SELECT p_partkey AS item_id,
-         CAST('0x' || substr(md5(p_type), 1, 7) AS INTEGER) AS category_id,
+         CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) AS category_id,
          p_name AS item_name,
          p_brand AS description,
          CAST(p_retailprice AS DECIMAL(8,2)) AS price,

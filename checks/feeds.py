@@ -107,21 +107,12 @@ def _conformed(b: Books) -> DataFrame:
 def _saved_and_loaded(b: Books) -> DataFrame:
     """The sales report over a snapshot that was written and read back."""
     folder = fresh_path(b.spark, "snapshot")
-    ids = {"category_id": F.col("category_id").cast("int")}
     whole = b.tables.with_(
-        users=b.tables.users.withColumn("user_id", F.col("user_id").cast("int")),
-        menu_items=b.tables.menu_items.withColumns({"item_id": F.col("item_id").cast("int"), **ids}),
-        orders=b.tables.orders.withColumns({c: F.col(c).cast("int") for c in ("order_id", "user_id")}),
-        order_items=b.tables.order_items.withColumns(
-            {c: F.col(c).cast("int") for c in ("order_item_id", "order_id", "item_id")}
-        ),
-    )
-    whole = whole.with_(
         **{
             name: frame.withColumns(
                 {c: F.col(c).cast("timestamp") for c, kind in frame.dtypes if kind == "timestamp_ntz"}
             )
-            for name, frame in whole.items()
+            for name, frame in b.tables.items()
         }
     )
     tables.save_tables(whole, folder, orders_by_date=True)
@@ -218,7 +209,7 @@ FEEDS: dict[str, tuple[Job, str]] = {
     "src7_insert_defaults": (
         _conformed,
         over_model(
-            "SELECT CAST(item_id AS INTEGER) AS item_id, 10 AS stock, TRUE AS is_available, "
+            "SELECT item_id, 10 AS stock, TRUE AS is_available, "
             "10 AS preparation_time_minutes FROM m_menu"
         ),
     ),

@@ -344,7 +344,7 @@ def item_requests(b: Books) -> DataFrame:
         F.col("p_partkey").alias("request_id"),
         F.when(F.col("p_brand") != "Brand#3", F.col("p_name")).alias("item_name"),
         F.when(F.col("p_brand") == "Brand#4", F.lit(-1))
-        .otherwise(F.conv(F.substring(F.md5("p_type"), 1, 7), 16, 10).cast("int"))
+        .otherwise(F.conv(F.substring(F.md5("p_type"), 1, 15), 16, 10).cast("bigint"))
         .alias("category_id"),
         (F.col("p_retailprice").cast("decimal(8,2)") - F.lit(900).cast("decimal(8,2)")).alias("price"),
         F.when(F.col("p_brand") != "Brand#5", F.col("p_size") - 2).alias("stock"),
@@ -356,7 +356,7 @@ NEW_ITEMS = """
 wanted AS (
   SELECT p_partkey AS request_id, CASE WHEN p_brand <> 'Brand#3' THEN p_name END AS item_name,
          CASE WHEN p_brand = 'Brand#4' THEN -1
-              ELSE CAST('0x' || substr(md5(p_type), 1, 7) AS INTEGER) END AS category_id,
+              ELSE CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) END AS category_id,
          CAST(p_retailprice AS DECIMAL(8,2)) - CAST(900 AS DECIMAL(8,2)) AS price,
          CASE WHEN p_brand <> 'Brand#5' THEN p_size - 2 ELSE 10 END AS stock,
          p_size - 1 AS preparation_time_minutes

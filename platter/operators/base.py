@@ -64,7 +64,7 @@ def changed(table: DataFrame, touched: Column, **values: Column) -> DataFrame:
 
 def next_id(table: DataFrame, key: str) -> Column:
     """First free id of a table, as a scalar subquery."""
-    return table.agg((F.coalesce(F.max(key), F.lit(0)) + 1).cast("bigint").alias("id")).scalar()
+    return table.agg((F.coalesce(F.max(key).cast("bigint"), F.lit(0)) + 1).alias("id")).scalar()
 
 
 def stamp(as_of: object | None, column: str = "updated_at") -> Column:

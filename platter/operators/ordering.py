@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from platter.functions.expressions import line_amount, message
 from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
 from platter.operators.sequence import CHUNK_ROWS, with_position
-from platter.operators.stock import lines_of, return_stock
-from platter.schema import PAYMENT_METHODS, PENDING_NARROW, TOTAL, Tables
+from platter.operators.stock import beyond_range, lines_of, return_stock
+from platter.schema import COUNT_MOST, MONEY_MOST, PAYMENT_METHODS, PENDING_NARROW, TOTAL, Tables
 from platter.session import stored
 
 
@@ -45,7 +45,7 @@ def place_orders(
         F.coalesce(F.col("is_available") & (F.col("stock") > 0), F.lit(False)).alias("_orderable"),
     )
     looked_up = requests.join(items, "item_id", "left").join(users, "user_id", "left")
-    total = line_amount()
+    total = F.col("unit_price") * F.col("quantity")
     accepted, rejected = judge(
         looked_up,
         {
@@ -57,6 +57,7 @@ def place_orders(
             **_quantity_rules("_stock"),
             "insufficient_balance": (F.col("payment_method") == "wallet")
             & (F.coalesce("_balance", F.lit(0)) < total),
+            "amount_out_of_range": total > F.lit(MONEY_MOST),
         },
     )
     accepted = accepted.drop("_user", "_orderable", "_stock", "_balance")
@@ -154,14 +155,29 @@ def add_items_to_orders(
 
 
 def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None) -> Outcome:
-    """Delete orders with their lines, put the stock back, refund paid wallet orders."""
+    """Delete orders with their lines, put the stock back, refund paid wallet orders.
+
+    Orders are refused if the stock of one of their items, or all refunds of
+    their user together, would leave the range of the column.
+    """
     wanted = order_ids.select("order_id").distinct()
-    doomed = t.orders.join(wanted, "order_id", "left_semi")
+    known = t.orders.join(wanted, "order_id", "left_semi")
+    crossed = beyond_range(t.menu_items, lines_of(t.order_items, known), 1)
+    paid_back = (F.col("payment_status") == "completed") & (F.col("payment_method") == "wallet")
+    gains = known.where(paid_back).groupBy("user_id").agg(F.sum(F.greatest("total_amount", F.lit(0))).alias("_most"))
+    rich = t.users.select("user_id", "wallet_balance").join(gains, "user_id").where(
+        F.col("wallet_balance") + F.col("_most") > F.lit(MONEY_MOST)
+    )
+    overpaid = known.where(paid_back).join(rich.select("user_id"), "user_id", "left_semi").select("order_id")
+    off = refused(crossed, "stock_out_of_range").unionByName(
+        refused(overpaid.join(crossed, "order_id", "left_anti"), "refund_out_of_range")
+    )
+    doomed = known.join(off.select("order_id"), "order_id", "left_anti")
     ids = doomed.select("order_id")
 
     menu = return_stock(t.menu_items, lines_of(t.order_items, ids), as_of)
     refunds = (
-        doomed.where((F.col("payment_status") == "completed") & (F.col("payment_method") == "wallet"))
+        doomed.where(paid_back)
         .groupBy("user_id")
         .agg(F.sum("total_amount").alias("_refund"))
     )
@@ -174,11 +190,11 @@ def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None)
     after = t.with_(
         users=users,
         menu_items=menu,
-        orders=t.orders.join(wanted, "order_id", "left_anti"),
+        orders=t.orders.join(ids, "order_id", "left_anti"),
         order_items=t.order_items.join(ids, "order_id", "left_anti"),
     )
     done = ids.select("order_id", message("Order ", F.col("order_id"), " deleted successfully").alias("message"))
-    rejects = refused(wanted.join(ids, "order_id", "left_anti"), "order_not_found")
+    rejects = refused(wanted.join(known, "order_id", "left_anti"), "order_not_found").unionByName(off)
     return Outcome(after, rejects, done)
 
 

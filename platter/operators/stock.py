@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from platter.functions.expressions import message
 from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
 from platter.operators.sequence import with_position
-from platter.schema import DEFAULTS, Tables
+from platter.schema import COUNT_MOST, DEFAULTS, Tables
 
 
 def enforce_availability(menu: DataFrame, as_of: object | None = None) -> DataFrame:
@@ -36,17 +36,37 @@ def deduct_stock(t: Tables, order_ids: DataFrame, as_of: object | None = None) -
     """Take the quantities of the given orders out of stock, each order once.
 
     Afterwards every item without stock is switched off, also one that none
-    of the orders touched.
+    of the orders touched.  Orders of an item whose stock would leave the
+    range of its column are refused.
     """
-    lines = lines_of(t.order_items, order_ids)
+    asked = lines_of(t.order_items, order_ids)
+    crossed = beyond_range(t.menu_items, asked, -1)
+    lines = asked.join(crossed, "order_id", "left_anti")
     joined = t.menu_items.join(_quantity_by_item(lines), "item_id", "left")
     moved = changed(
         joined, F.col("moved").isNotNull(), stock=F.col("stock") - F.col("moved"), updated_at=stamp(as_of)
     )
     menu = enforce_availability(moved.select(*t.menu_items.columns), as_of)
-    known = t.order_items.select("order_id").distinct()
-    rejects = refused(order_ids.distinct().join(known, "order_id", "left_anti"), "order_without_lines")
-    return Outcome(t.with_(menu_items=menu), rejects)
+    wanted = order_ids.distinct()
+    nothing = refused(wanted.join(asked.select("order_id"), "order_id", "left_anti"), "order_without_lines")
+    off = refused(wanted.join(crossed, "order_id", "left_semi"), "stock_out_of_range")
+    return Outcome(t.with_(menu_items=menu), nothing.unionByName(off))
+
+
+def beyond_range(menu: DataFrame, lines: DataFrame, sign: int) -> DataFrame:
+    """Orders (order_id) with an item whose stock the lines would move out of the range of its column.
+
+    Gains and losses are held against the range apart, so the verdict stands
+    whatever part of the orders is carried out.
+    """
+    moved = F.col("quantity").cast("bigint") * sign
+    per_item = lines.groupBy("item_id").agg(
+        F.sum(F.greatest(moved, F.lit(0))).alias("_gained"), F.sum(F.least(moved, F.lit(0))).alias("_lost")
+    )
+    stock = F.col("stock").cast("bigint")
+    out = (stock + F.col("_gained") > COUNT_MOST) | (stock + F.col("_lost") < -COUNT_MOST - 1)
+    items = menu.select("item_id", "stock").join(per_item, "item_id").where(out).select("item_id")
+    return lines.join(items, "item_id", "left_semi").select("order_id").distinct()
 
 
 def return_stock(menu: DataFrame, lines: DataFrame, as_of: object | None = None) -> DataFrame:
@@ -84,6 +104,8 @@ def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Ou
     )
     mode, quantity, stock = F.col("mode"), F.col("quantity"), F.col("_stock")
     relative = mode.isin("add", "reduce")
+    wide = quantity.cast("bigint")
+    target = F.when(mode == "set", wide).when(mode == "add", stock + wide).otherwise(stock - wide)
     accepted, rejected = judge(
         looked_up,
         {
@@ -92,9 +114,9 @@ def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Ou
             "invalid_quantity": quantity.isNull() | (quantity < F.when(relative, 1).otherwise(0)),
             "stock_unknown": relative & stock.isNull(),
             "insufficient_stock": (mode == "reduce") & (quantity > stock),
+            "stock_out_of_range": target > COUNT_MOST,
         },
     )
-    target = F.when(mode == "set", quantity).when(mode == "add", stock + quantity).otherwise(stock - quantity)
     joined = t.menu_items.join(accepted.select("item_id", target.alias("_target")), "item_id", "left")
     new = F.col("_target")
     menu = changed(

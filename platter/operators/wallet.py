@@ -5,12 +5,12 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.operators.base import Outcome, changed, judge, refused, stamp
 from platter.operators.sequence import CHUNK_ROWS, crowded, look_up, running, with_position
-from platter.schema import ORDER_STATUSES, PAYMENT_STATUSES, Tables
+from platter.schema import MONEY_MOST, ORDER_STATUSES, PAYMENT_STATUSES, Tables
 from platter.session import stored
 
 # Groups up to this many debits are settled by one fold; longer ones in phases.
@@ -24,23 +24,38 @@ def apply_topups(
 ) -> Outcome:
     """Add amounts to wallets: requests (user_id, amount).
 
-    The amount must be positive (and at most ``limit`` if one is set).
+    The amount must be positive (and at most ``limit`` if one is set).  If
+    all amounts of a user together take the balance past what the column
+    holds, all of them are refused, since their order would decide otherwise.
     """
     amount = F.col("amount")
-    rules = {"Amount must be positive": amount.isNull() | (amount <= 0)}
+    # Fixed value: the message of the first rule.
+    rules = {"Amount must be positive": amount.isNull() | (amount <= 0), "amount_out_of_range": amount > F.lit(MONEY_MOST)}
     if limit is not None:
         rules["amount_above_limit"] = amount > F.lit(limit)
     valid, rejected = judge(requests, rules)
     per_user = valid.groupBy("user_id").agg(F.sum("amount").alias("_added"))
     users = changed(
         t.users.join(per_user, "user_id", "left"),
-        F.col("_added").isNotNull(),
+        F.col("_added").isNotNull() & ~_too_much(F.col("wallet_balance") + F.col("_added")),
         wallet_balance=F.col("wallet_balance") + F.col("_added"),
         updated_at=stamp(as_of),
     ).select(*t.users.columns)
-    strangers = per_user.select("user_id").join(t.users.select("user_id"), "user_id", "left_anti")
-    unknown = valid.join(strangers, "user_id", "left_semi").unionByName(valid.where(F.col("user_id").isNull()))
-    return Outcome(t.with_(users=users), rejected.unionByName(refused(unknown, "user_not_found")))
+    wallets = t.users.select("user_id", F.col("wallet_balance").alias("_balance"), F.lit(True).alias("_known"))
+    _, turned_away = judge(
+        per_user.join(wallets, "user_id", "left"),
+        {
+            "user_not_found": F.col("_known").isNull(),
+            "amount_out_of_range": _too_much(F.col("_balance") + F.col("_added")),
+        },
+    )
+    late = valid.join(turned_away.select("user_id", "reason"), "user_id").select(*requests.columns, "reason")
+    nobody = refused(valid.where(F.col("user_id").isNull()), "user_not_found")
+    return Outcome(t.with_(users=users), rejected.unionByName(late).unionByName(nobody))
+
+
+def _too_much(balance: Column) -> Column:
+    return F.coalesce(balance > F.lit(MONEY_MOST), F.lit(False))
 
 
 def _fold(debits: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -11,6 +12,10 @@ MONEY = T.DecimalType(10, 2)
 PRICE = T.DecimalType(8, 2)
 TOTAL = T.DecimalType(20, 2)
 
+# The most that a money column and a count column hold.
+MONEY_MOST = Decimal("99999999.99")
+COUNT_MOST = 2**31 - 1
+
 # The domains of the enum columns.
 USER_TYPES = ("student", "faculty", "staff")
 ORDER_STATUSES = ("pending", "confirmed", "preparing", "ready", "completed", "cancelled")
@@ -33,10 +38,10 @@ def _struct(*fields: tuple[str, T.DataType, bool]) -> T.StructType:
     return T.StructType([T.StructField(n, t, null) for n, t, null in fields])
 
 
-_INT, _STR, _TS, _BOOL = T.IntegerType(), T.StringType(), T.TimestampType(), T.BooleanType()
+_ID, _INT, _STR, _TS, _BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.TimestampType(), T.BooleanType()
 
 USERS = _struct(
-    ("user_id", _INT, False),
+    ("user_id", _ID, False),
     ("srn", _STR, False),
     ("name", _STR, False),
     ("email", _STR, False),
@@ -48,7 +53,7 @@ USERS = _struct(
 )
 
 CATEGORIES = _struct(
-    ("category_id", _INT, False),
+    ("category_id", _ID, False),
     ("category_name", _STR, False),
     ("description", _STR, True),
     ("is_active", _BOOL, True),
@@ -56,8 +61,8 @@ CATEGORIES = _struct(
 )
 
 MENU_ITEMS = _struct(
-    ("item_id", _INT, False),
-    ("category_id", _INT, False),
+    ("item_id", _ID, False),
+    ("category_id", _ID, False),
     ("item_name", _STR, False),
     ("description", _STR, True),
     ("price", PRICE, False),
@@ -71,8 +76,8 @@ MENU_ITEMS = _struct(
 )
 
 ORDERS = _struct(
-    ("order_id", _INT, False),
-    ("user_id", _INT, False),
+    ("order_id", _ID, False),
+    ("user_id", _ID, False),
     ("order_date", _TS, True),
     ("total_amount", MONEY, False),
     ("order_status", _STR, True),
@@ -85,9 +90,9 @@ ORDERS = _struct(
 )
 
 ORDER_ITEMS = _struct(
-    ("order_item_id", _INT, False),
-    ("order_id", _INT, False),
-    ("item_id", _INT, False),
+    ("order_item_id", _ID, False),
+    ("order_id", _ID, False),
+    ("item_id", _ID, False),
     ("quantity", _INT, False),
     ("unit_price", PRICE, False),
     ("subtotal", MONEY, False),

@@ -35,7 +35,7 @@ def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 # One expression per column of the model.
-CATEGORY_ID = "cast(conv(substring(md5(p_type), 1, 7), 16, 10) AS int)"
+CATEGORY_ID = "cast(conv(substring(md5(p_type), 1, 15), 16, 10) AS bigint)"
 SIGNED_UP = "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(c_nationkey)"
 ORDERED_AT = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey * 37 % 86400)"
 
