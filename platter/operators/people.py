@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from platter.functions.expressions import message, valid_email, valid_phone
 from platter.operators.base import Outcome, fit_to, judge, next_id, refused
 from platter.operators.sequence import with_position
-from platter.schema import USER_TYPES, Tables
+from platter.schema import DEFAULTS, USER_TYPES, Tables
 from platter.session import stored
 
 
 def delete_users(t: Tables, user_ids: DataFrame) -> Outcome:
     """Delete users without orders; the others are refused."""
     wanted = user_ids.select("user_id").distinct()
-    buyers = t.orders.select("user_id").distinct()
+    buyers = t.orders.select("user_id").join(wanted, "user_id", "left_semi").distinct()
     free = wanted.join(buyers, "user_id", "left_anti")
     users = t.users.join(free, "user_id", "left_anti")
     known = t.users.select("user_id")
@@ -77,15 +77,24 @@ def insert_users(
     """Add users: srn, name and email required, srn and email unique whatever their case.
 
     Within the batch the earlier request wins, as if the rows came one by one.
+    ``phone`` and ``wallet_balance`` may be left out.
     """
+    columns = new.columns
+    for column, kind in (("phone", "string"), ("wallet_balance", "decimal(10,2)")):
+        if column not in columns:
+            new = new.withColumn(column, F.lit(None).cast(kind))
     phone = F.when(F.trim("phone") == "", F.lit(None)).otherwise(F.col("phone")).cast("string")
-    balance = F.coalesce("wallet_balance", F.lit(0))
+    balance = F.coalesce("wallet_balance", F.lit(DEFAULTS["users"]["wallet_balance"]))
     cleaned = new.withColumns({"phone": phone, "wallet_balance": balance}).withColumns(
         {"_srn": F.lower("srn"), "_email": F.lower("email")}
     )
-    srns = t.users.select(F.lower("srn").alias("_srn")).distinct().withColumn("_srn_taken", F.lit(True))
-    emails = t.users.select(F.lower("email").alias("_email")).distinct().withColumn("_email_taken", F.lit(True))
-    looked_up = cleaned.join(srns, "_srn", "left").join(emails, "_email", "left")
+
+    def taken(column: str) -> DataFrame:
+        key = f"_{column}"
+        held = t.users.select(F.lower(column).alias(key)).join(cleaned.select(key), key, "left_semi").distinct()
+        return held.withColumn(f"{key}_taken", F.lit(True))
+
+    looked_up = cleaned.join(taken("srn"), "_srn", "left").join(taken("email"), "_email", "left")
 
     def blank(column):
         return F.coalesce(F.trim(column) == "", F.lit(True))
@@ -111,6 +120,5 @@ def insert_users(
     rows = numbered.withColumn("created_at", F.lit(as_of)).withColumn("updated_at", F.lit(as_of))
     users = t.users.unionByName(fit_to(t.users, rows))
     late = placed.join(losers, "position").withColumn("reason", F.concat(F.lit("duplicate"), F.col("key")))
-    columns = new.columns
     rejects = rejected.select(*columns, "reason").unionByName(late.select(*columns, "reason"))
     return Outcome(t.with_(users=users), rejects, numbered.select(*order, "user_id"))

@@ -138,7 +138,7 @@ def delete_menu_items(t: Tables, item_ids: DataFrame, as_of: object | None = Non
     ``done`` tells per item which of the two happened.
     """
     wanted = item_ids.select("item_id").distinct()
-    sold = t.order_items.select("item_id").distinct().withColumn("_sold", F.lit(True))
+    sold = t.order_items.select("item_id").join(wanted, "item_id", "left_semi").distinct().withColumn("_sold", F.lit(True))
     known = t.menu_items.select("item_id").join(wanted, "item_id", "left_semi").join(sold, "item_id", "left")
     plan = known.select("item_id", F.coalesce("_sold", F.lit(False)).alias("_sold"))
     joined = t.menu_items.join(plan, "item_id", "left").where(F.coalesce("_sold", F.lit(True)))

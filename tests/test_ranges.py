@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from platter.operators import ordering, stock, wallet
+from platter.operators import ordering, people, stock, wallet
 from platter.plans import customers, orders, overview
 from platter.schema import SCHEMAS
 from platter.sources.tables import load_tables, save_tables
@@ -105,3 +105,21 @@ def test_top_k_reports_run_nothing_when_defined(spark, seed, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     scanned = reports[0]._jdf.queryExecution().executedPlan().toString()
     assert "special_instructions" not in scanned
+
+
+def test_users_without_phone_and_balance(spark, seed):
+    new = spark.createDataFrame([(1, "N1", "A", "a@x.org", "student"), (2, "r0001", "B", "b@x.org", "student")],
+                                "request_id int, srn string, name string, email string, user_type string")
+    done = people.insert_users(seed, new)
+    assert values(done.tables.users.where("user_id = 8"), "srn", "phone", "wallet_balance") == [("N1", None, 0.0)]
+    assert values(done.rejects) == [(2, "r0001", "B", "b@x.org", "student", "duplicate_srn")]
+
+
+def test_small_batches_narrow_the_facts_first(seed, spark):
+    """The semi join with the batch stands below the distinct of the fact."""
+    users = spark.createDataFrame([(1,)], "user_id bigint")
+    plan = people.delete_users(seed, users).rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
+    items = spark.createDataFrame([(2,)], "item_id bigint")
+    plan = stock.delete_menu_items(seed, items).done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
