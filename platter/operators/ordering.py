@@ -193,6 +193,7 @@ def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None)
         orders=t.orders.join(ids, "order_id", "left_anti"),
         order_items=t.order_items.join(ids, "order_id", "left_anti"),
     )
+    # Fixed value: the message of a delete.
     done = ids.select("order_id", message("Order ", F.col("order_id"), " deleted successfully").alias("message"))
     rejects = refused(wanted.join(known, "order_id", "left_anti"), "order_not_found").unionByName(off)
     return Outcome(after, rejects, done)

@@ -22,9 +22,11 @@ def delete_users(t: Tables, user_ids: DataFrame) -> Outcome:
     free = wanted.join(buyers, "user_id", "left_anti")
     users = t.users.join(free, "user_id", "left_anti")
     known = t.users.select("user_id")
+    # Fixed value: the message of a delete.
     done = free.join(known, "user_id", "left_semi").select(
         "user_id", message("User ", F.col("user_id"), " deleted successfully").alias("message")
     )
+    # Fixed value: the message of a refused delete.
     rejects = refused(
         wanted.join(buyers, "user_id", "left_semi"),
         "Cannot delete user with existing orders. Cancel orders first.",

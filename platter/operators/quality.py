@@ -18,7 +18,7 @@ from platter.schema import (
     Tables,
 )
 
-# label, child table, parent table, key
+# The labels. Label, child table, parent table, key.
 REFERENCES = (
     ("Orders without valid user", "orders", "users", "user_id"),
     ("Order_Items without valid order", "order_items", "orders", "order_id"),

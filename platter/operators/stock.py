@@ -149,6 +149,7 @@ def delete_menu_items(t: Tables, item_ids: DataFrame, as_of: object | None = Non
         is_available=F.lit(False),
         updated_at=stamp(as_of),
     ).select(*t.menu_items.columns)
+    # The messages of both kinds of delete.
     kept = message("Menu item ", F.col("item_id"), " marked as unavailable (has order history)")
     gone = message("Menu item ", F.col("item_id"), " deleted successfully")
     done = plan.select(
