@@ -4,14 +4,15 @@ Tokens are summed to cells of (source, language, topic). Values that a margin do
 name fall under ``*``, so the cells are at most the product of the named values plus one
 each: a bound set by the caller's targets, whatever the data. Iterative proportional
 fitting scales the cells to one margin after the other until all hold; the quotient of
-fitted and observed tokens is the weight of a cell's documents. Weights stay under ``MAX_WEIGHT``:
+fitted and observed tokens is the weight of a cell's documents. A margin that has no target for
+``*`` keeps the observed share of its unnamed values, and the named targets share out what is left. Weights stay under ``MAX_WEIGHT``:
 a rare cell gives what it has, and the raking goes on over the others. A document is drawn with
 probability weight / largest weight, by a hash of its id, so the draw repeats anywhere.
 
 Defined results: null source, language or topic count as ``*``; a null text has no tokens
 and the weight of its cell; a target value without any tokens is left out and the rest of
-its margin scaled up; targets of 0 empty their cells; if no cell has tokens, every weight
-is 1. Rows with the same id share their draw; a null id is drawn as empty text. An empty
+its margin scaled up; targets of 0 empty their cells, but a margin none of whose targets has
+tokens stays as observed; if no cell has tokens, every weight is 1. Rows with the same id share their draw; a null id is drawn as empty text. An empty
 table gives an empty result.
 """
 
@@ -53,16 +54,19 @@ def topic_of(text: Column) -> Column:
 
 
 def rake(observed: np.ndarray, margins: list[np.ndarray], max_weight: float = MAX_WEIGHT) -> np.ndarray:
-    """``observed`` scaled, ``max_weight`` times at most, so that its sums along each axis are in the proportions of ``margins``."""
+    """``observed`` scaled, ``max_weight`` times at most, so that its sums along each axis are in the proportions of ``margins``.
+
+    A margin that gives nothing to any value with tokens is replaced by the observed one.
+    """
     total = observed.sum()
     if total <= 0:
         return observed.copy()
     goals = []
     for axis, margin in enumerate(margins):
-        there = observed.sum(axis=tuple(a for a in range(observed.ndim) if a != axis)) > 0
-        goal = np.where(there, margin, 0.0)
+        now = observed.sum(axis=tuple(a for a in range(observed.ndim) if a != axis))
+        goal = np.where(now > 0, margin, 0.0)
         if goal.sum() <= 0:
-            raise ValueError(f"no target of margin {axis} has any tokens")
+            goal = now
         goals.append(goal / goal.sum() * total)
     fitted = observed.astype(float)
     for _ in range(MAX_ROUNDS):
@@ -79,6 +83,19 @@ def rake(observed: np.ndarray, margins: list[np.ndarray], max_weight: float = MA
     return fitted
 
 
+def margin_of(named: Mapping[str, float], names: list[str], tokens: np.ndarray) -> np.ndarray:
+    """Shares of ``names``, in order: the targets, and for an unnamed ``*`` its share of the observed ``tokens``."""
+    margin = np.array([named.get(n, 0.0) for n in names], dtype=float)
+    if REST in named or tokens.sum() <= 0:
+        return margin
+    rest = names.index(REST)
+    share = tokens[rest] / tokens.sum()
+    there = np.where(tokens > 0, margin, 0.0).sum()
+    margin *= (1 - share) / there if there > 0 else 0.0
+    margin[rest] = share
+    return margin
+
+
 def _cell(column: Column, named: Mapping[str, float]) -> Column:
     return F.when(column.isin(*[k for k in named if k != REST]), column).otherwise(F.lit(REST))
 
@@ -114,7 +131,8 @@ def mixture(
     observed = np.zeros([len(n) for n in names])
     for row in sums:  # bounded: one row per cell
         observed[tuple(n.index(row[a]) for n, a in zip(names, axes))] = row["tokens"]
-    margins = [np.array([targets[a].get(v, 0.0) for v in n]) for n, a in zip(names, axes)]
+    sums_of = [observed.sum(axis=tuple(x for x in range(len(axes)) if x != i)) for i in range(len(axes))]
+    margins = [margin_of(targets[a], n, t) for n, a, t in zip(names, axes, sums_of)]
     fitted = rake(observed, margins)
     weights = np.divide(fitted, observed, out=np.ones_like(fitted), where=observed > 0)
     top = weights[observed > 0].max() if (observed > 0).any() else 1.0

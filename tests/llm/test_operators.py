@@ -268,3 +268,51 @@ def test_raking_meets_its_margins():
     fitted = mixing.rake(observed, margins, 1000)
     for axis, margin in enumerate(margins):
         assert fitted.sum(axis=tuple(a for a in range(3) if a != axis)) / fitted.sum() == pytest.approx(margin)
+
+
+def _mixed_rows(langs):
+    return [(i, f"plain words of row {i} and then a few more", langs[i % len(langs)], f"src{i % 3}", 42, None) for i in range(600)]
+
+
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint, extra string"
+
+
+def test_languages_without_a_target_keep_their_share(spark):
+    rows = _mixed_rows(["en", "de", "fr", "es", None, "it"])
+    report = mixing.mixing_report(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    tokens, weighted = Counter(), Counter()
+    for r in report:
+        tokens[r["lang"]] += r["n_tokens"]
+        weighted[r["lang"]] += r["n_tokens"] * r["weight"]
+    assert weighted["*"] / sum(weighted.values()) == pytest.approx(tokens["*"] / sum(tokens.values()), rel=1e-3)
+    assert weighted["de"] / weighted["es"] == pytest.approx(0.18 / 0.14, rel=1e-3)
+    drawn = {r["doc_id"] for r in mixing.mix(spark.createDataFrame(rows, DOCUMENTS)).collect()}
+    for lang in (None, "it"):
+        of_lang = {r[0] for r in rows if r[2] == lang}
+        assert len(drawn & of_lang) > len(of_lang) / 5, lang
+
+
+@pytest.mark.parametrize("lang", [None, "it"])
+def test_tables_without_any_named_language_are_mixed(spark, lang):
+    frame = spark.createDataFrame(_mixed_rows([lang]), DOCUMENTS)
+    report = mixing.mixing_report(frame).collect()
+    assert {r["weight"] > 0 for r in report} == {True}
+    assert mixing.mix(frame).count() > 120
+
+
+def test_rake_without_a_met_target_keeps_what_is_there():
+    observed = np.array([[0.0, 5.0], [0.0, 15.0]])
+    fitted = mixing.rake(observed, [np.array([0.5, 0.5]), np.array([1.0, 0.0])])
+    assert fitted.sum(axis=1) == pytest.approx([10, 10]) and fitted.sum(axis=0) == pytest.approx([0, 20])
+
+
+def test_pipeline_keeps_unlisted_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}{c}" for a in "ptkbd" for b in "aeiou" for c in "nmrls"]
+    rows = [(i, " ".join(rng.choice(words, 60)), ["en", None, "it"][i % 3], f"src{i % 2}", 240) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    for k in range(3):
+        assert len([i for i in left if i % 3 == k]) >= 5
