@@ -316,3 +316,58 @@ def test_pipeline_keeps_unlisted_languages(spark, tmp_path):
     left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     for k in range(3):
         assert len([i for i in left if i % 3 == k]) >= 5
+
+
+MIT_TEXT = (
+    "MIT License",
+    "Copyright (c) 2020 Some Body",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+)
+BSD_TEXT = (
+    "Copyright (c) 2020, Some Body\nAll rights reserved.",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission.",
+)
+GPL_TEXT = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+    "Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+)
+APACHE_TEXT = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+    "You may obtain a copy of the License at",
+)
+
+
+@pytest.mark.parametrize("width", [40, 70, 80, 400])
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+@pytest.mark.parametrize(
+    "paragraphs,license",
+    [(MIT_TEXT, "MIT"), (BSD_TEXT, "BSD-3-Clause"), (BSD_TEXT[:4], "BSD-2-Clause"), (BSD_TEXT[:2], "BSD"), (GPL_TEXT, "GPL-3.0-or-later"), (APACHE_TEXT, "Apache-2.0")],
+)
+def test_wrapped_license_texts(paragraphs, license, mark, width):
+    import textwrap
+
+    wrapped = f"\n{mark.rstrip()}\n".join("\n".join(mark + line for part in p.split("\n") for line in textwrap.wrap(part, width)) for p in paragraphs)
+    prose = "A note on the work and what it is for, with some words of its own."
+    found = list(licenses.Scanner().scan(f"{prose}\n\n{wrapped}\n\n{prose}\n"))
+    named = [f[2] for f in found if f[2]]
+    assert named == [license]
+    assert found[0][2] == license, found
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+def test_wrapped_cues_are_found(spark):
+    rows = [(1, "Copyr. 2020 Some Body. All\nrights reserved."), (2, "free and unencumbered software released into the public\ndomain, this is")]
+    assert licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 2
+
+
+def test_notices_of_one_paragraph_stay_apart():
+    text = "Released under the MIT License.\nsome words between them\nLicensed under the Apache License, Version 2.0.\n\nLicensed under CC BY 4.0."
+    assert [f[2] for f in licenses.Scanner().scan(text)] == ["MIT", "Apache-2.0", "CC-BY-4.0"]
