@@ -21,8 +21,12 @@ def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a large share of a source's documents carry go; the source stands for the host."""
-    cut = line_dedup.drop_boilerplate(docs, F.col("source"), line_dedup.text_lines(F.col("text")), "_kept_lines", "_all_lines")
+    """Lines that a large share of a source's documents carry go; the source stands for the host.
+
+    Copies of a document count once, and one document keeps each line: the near-duplicate stage comes later.
+    """
+    lines = line_dedup.text_lines(F.col("text"))
+    cut = line_dedup.drop_boilerplate(docs, F.col("source"), lines, "_kept_lines", "_all_lines", once=True)
     text = F.when(F.size("_kept_lines") == F.col("_all_lines"), F.col("text")).otherwise(F.array_join("_kept_lines", "\n"))
     size = F.when(F.size("_kept_lines") == F.col("_all_lines"), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return cut.withColumns({"text": text, "n_chars": size}).select(*docs.columns)

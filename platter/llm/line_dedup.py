@@ -10,9 +10,14 @@ that go are at most (mean number of different lines of its pages) / ratio, which
 the array that a host is joined with. The table of those arrays is written first, so
 that Spark broadcasts it only if its known size allows and splits a hot host otherwise.
 
+With ``once``, for corpora with groups of copies, pages of a host with the same lines count as one page in both
+numbers, so only lines that stand in different pages can go, and each line stays in the page with the least hash of
+all that have it: near copies, which share most lines, lose none of them altogether. The pages are
+brought to one row per host and content before lines are dealt out, and partial counts come first there as well.
+
 Defined results: a null text has no lines; a row without a host keeps all its lines;
 blank lines are never counted and never dropped; repeated rows count as pages of their
-own; an empty table gives an empty result. All columns of the input stay; the columns
+own unless ``once`` is given; an empty table gives an empty result. All columns of the input stay; the columns
 the operator adds are named by the caller.
 """
 
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm.common import free_name
+from platter.llm.common import free_name, let
 from platter.session import stored
 
 RATIO = 0.1
@@ -65,6 +70,16 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
+def _keys(lines: Column | str) -> Column:
+    """The hashes of the lines that are not blank, in order."""
+    return F.filter(F.transform(lines, _key), lambda k: k.isNotNull())
+
+
+def content_of(lines: Column | str) -> Column:
+    """64-bit hash of the lines of a page that are not blank, in order."""
+    return F.xxhash64(_keys(lines))
+
+
 def boilerplate(
     pages: DataFrame,
     host: Column,
@@ -72,17 +87,31 @@ def boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     min_repeats: int = MIN_REPEATS,
+    once: bool = False,
 ) -> DataFrame:
-    """(host, keys): the hashes of each host's boilerplate lines; hosts without any have no row."""
+    """(host, keys): the hashes of each host's boilerplate lines; hosts without any have no row.
+
+    With ``once`` also ``pages_of``, by line the content hash of the page where it stays.
+    """
     sites = pages.select(host.alias("host"), lines.alias("lines")).where(F.col("host").isNotNull())
-    keys = F.array_distinct(F.filter(F.transform("lines", _key), lambda k: k.isNotNull()))
+    keys = F.array_distinct(_keys("lines"))
+    if once:
+        #: Equal contents have equal keys, so any row stands for all of them.
+        sites = sites.select("host", content_of("lines").alias("page"), keys.alias("found"))
+        sites = sites.groupBy("host", "page").agg(F.first("found").alias("found"))
+        keys, page = F.col("found"), F.col("page")
+    else:
+        page = F.lit(0).cast("long")
     #: A page also counts under the null key, which gives the host's total.
-    each = sites.select("host", F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("key"))
-    counts = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    each = sites.select("host", page.alias("page"), F.explode(F.concat(keys, F.array(F.lit(None).cast("long")))).alias("key"))
+    counts = each.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("page"))
     counts = stored(counts.where((F.col("n") >= min_repeats) | F.col("key").isNull()), "line-counts")
     totals = counts.where(F.col("key").isNull() & (F.col("n") >= min_pages)).select("host", F.col("n").alias("pages"))
     often = counts.where(F.col("key").isNotNull()).join(totals, "host").where(F.col("n") >= ratio * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    if not once:
+        return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
+    both = often.groupBy("host").agg(F.collect_list(F.struct("key", "page")).alias("both"))
+    return both.select("host", F.col("both.key").alias("keys"), F.col("both.page").alias("pages_of"))
 
 
 def drop_boilerplate(
@@ -94,12 +123,17 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     min_repeats: int = MIN_REPEATS,
+    once: bool = False,
 ) -> DataFrame:
     """``pages`` with ``kept``, the lines that stay, and ``before``, how many there were."""
-    bad = stored(boilerplate(pages, host, lines, ratio, min_pages, min_repeats), "boilerplate")
-    of_page, split, site, keys = (free_name(pages, n) for n in ("_host", "_lines", "_site", "_keys"))
-    bad = bad.select(F.col("host").alias(site), F.col("keys").alias(keys))
+    bad = stored(boilerplate(pages, host, lines, ratio, min_pages, min_repeats, once), "boilerplate")
+    of_page, split, site, keys, owners = (free_name(pages, n) for n in ("_host", "_lines", "_site", "_keys", "_owners"))
+    owner = F.col("pages_of" if once else "keys").alias(owners)
+    bad = bad.select(F.col("host").alias(site), F.col("keys").alias(keys), *[owner] * once)
     joined = pages.withColumns({of_page: host, split: lines}).join(bad, F.col(of_page) == F.col(site), "left")
+    if once:
+        gone = let(content_of(split), lambda own: F.filter(F.transform(keys, lambda k, i: F.when(F.get(owners, i) != own, k)), lambda k: k.isNotNull()))
+        joined = joined.withColumn(keys, F.when(F.col(keys).isNotNull(), gone))
     stays = F.when(F.col(keys).isNull(), F.col(split)).otherwise(
         F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col(keys), _key(x)), F.lit(False)))
     )

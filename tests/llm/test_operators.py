@@ -371,3 +371,29 @@ def test_wrapped_cues_are_found(spark):
 def test_notices_of_one_paragraph_stay_apart():
     text = "Released under the MIT License.\nsome words between them\nLicensed under the Apache License, Version 2.0.\n\nLicensed under CC BY 4.0."
     assert [f[2] for f in licenses.Scanner().scan(text)] == ["MIT", "Apache-2.0", "CC-BY-4.0"]
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_copied_documents_survive_the_pipeline_once(spark, tmp_path, edits):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in "ptkbd" for b in "aeiou" for c in "nmrls"]
+    text = lambda: [" ".join(rng.choice(words, 12)) for _ in range(8)]
+    copied, menu, rows = text(), "home news contact about us", []
+    for i in range(60):
+        lines = list(copied) if i % 3 == 0 else [menu, *text()]
+        if i % 3 == 0 and edits and i:
+            lines[i // 3 % 8] += f" edit{i}"
+        rows.append((i, "\n".join(lines), "en", "src0", 480))
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cut = corpus_pipeline.line_stage(spark, docs, str(tmp_path))
+    left = corpus_pipeline.near_stage(spark, cut, str(tmp_path)).collect()
+    held = [r["text"].split("\n") for r in left]
+    whole = [x for x in held if sum(any(line.startswith(c) for line in x) for c in copied) == len(copied)]
+    assert len(whole) == 1
+    for c in copied:
+        assert any(c in x for x in held)
+    assert sum(menu in x for x in held) == 1
+    assert {r["doc_id"] for r in left} >= {i for i in range(60) if i % 3}
