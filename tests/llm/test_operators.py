@@ -397,3 +397,40 @@ def test_copied_documents_survive_the_pipeline_once(spark, tmp_path, edits):
         assert any(c in x for x in held)
     assert sum(menu in x for x in held) == 1
     assert {r["doc_id"] for r in left} >= {i for i in range(60) if i % 3}
+
+
+def test_near_classes_of_short_texts_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for size in range(5, 31):
+        for _ in range(4):
+            base = [f"w{x}" for x in rng.integers(0, 5000, size)]
+            texts += [base, [*base, "behind"], ["before", *base], [*base, "two", "more"], base[:-1], [*base[:-1], "last"]]
+    texts = [" ".join(t) for t in texts] + [f"same words open all of these texts e{i}" for i in range(30)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(frame).collect()}
+    hasher = near_dedup.Hasher()
+    sets = [near_dedup.shingles(hasher(t.split())) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if near_dedup.aligned(sets[a], sets[b]) >= 0.8 - 1e-9:
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_short_similar_texts_share_a_key_and_pass_the_rough_test():
+    rng = np.random.default_rng(2)
+    for n in range(4, 13):
+        for _ in range(50):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = np.append(a, rng.integers(0, 2**63, n // 4).astype(np.uint64))
+            assert np.intersect1d(near_dedup.bucket_keys(a), near_dedup.bucket_keys(b)).size
+    assert near_dedup.ROUGH * near_dedup.SIGNATURE <= 32
