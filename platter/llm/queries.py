@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import exact_dedup, language_model, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from platter.llm import exact_dedup, hard_negatives, language_model, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from platter.llm.common import remainder, table
 
 
@@ -81,6 +81,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -95,6 +100,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_toxicity,
             op9_licenses,
             op10_mixing,
+            op13_hard_negatives,
         )
     }
 
@@ -148,6 +154,29 @@ FROM b
 """
 
 
+OP13_SQL = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS place
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5
+"""
+
+
 def _op5_sql() -> str:
     text = f"regexp_replace(coalesce(html, ''), '{line_dedup._HIDDEN}', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{line_dedup._BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g')"
@@ -177,4 +206,4 @@ FROM k
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": _op5_sql(), "op6_quality_rules": OP6_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": _op5_sql(), "op6_quality_rules": OP6_SQL, "op13_hard_negatives": OP13_SQL}
