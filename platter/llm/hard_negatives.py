@@ -13,8 +13,8 @@ scores. A tile keeps a few rows per anchor, and a window over these partial list
 them, so no task, and not the driver, holds all anchors or all rows.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite
-component, take no part. Rows with the same id count as one row, the one whose (label,
-vector) is least. Vectors of different lengths meet as if the shorter ended in zeros; an
+component, take no part. Rows with the same id count as one row, the one whose label,
+then whose bit planes, are least. Vectors of different lengths meet as if the shorter ended in zeros; an
 empty vector scores 0. Equal scores are ranked by id. Anchors without other rows of their
 label, and positives without rows in their window, give no rows; so does an empty table.
 Other columns are not read, whatever their names. If a component is so large that an inner

@@ -35,7 +35,7 @@ def rows_of(seed, n, dims):
     for i in range(n):
         vector = hot if i % 3 == 0 else [pick.uniform(-1, 1) for _ in range(dims)] if i % 3 == 1 else [x + pick.uniform(-0.3, 0.3) for x in hot]
         rows.append((i, [float(np.float32(x)) for x in vector], i % 4 if i % 5 else 1))
-    rows += [rows[7], (8, [0.5] * dims, 0), (None, hot, 1), (900, None, 1), (901, hot, None), (902, [math.nan] * dims, 1), (903, [None] * dims, 1)]
+    rows += [rows[7], (8, [0.5] * dims, -1), (None, hot, 1), (900, None, 1), (901, hot, None), (902, [math.nan] * dims, 1), (903, [None] * dims, 1)]
     rows += [(904, [math.inf] * dims, 1), (905, [], 2), (906, [1.0, -1.0], 3), (910, [2.0] * dims, 2), (1000, hot + [1.0], 1)]
     return rows
 
