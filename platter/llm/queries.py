@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import exact_dedup, hard_negatives, language_model, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity
+from platter.llm import exact_dedup, hard_negatives, language_model, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from platter.llm.common import remainder, table
 
 
@@ -81,6 +81,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
+    digest = F.sha2(secret_scan.span_list(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secret_scan.span_list(F.col("secrets")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
@@ -100,6 +108,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_toxicity,
             op9_licenses,
             op10_mixing,
+            op12_secrets,
             op13_hard_negatives,
         )
     }
