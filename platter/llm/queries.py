@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platter.llm import exact_dedup, hard_negatives, language_model, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from platter.llm import exact_dedup, hard_negatives, language_model, lexical_search, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, toxicity
 from platter.llm.common import remainder, table
 
 
@@ -81,11 +81,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
-    counts = [F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
-    digest = F.sha2(secret_scan.span_list(base).cast("binary"), 256).alias("base_sha256")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE]
+    digest = F.sha2(secret_scan.span_list(of(*secret_scan.BASE)).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, secret_scan.span_list(F.col("secrets")).alias("spans"))
 
 
@@ -108,6 +116,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_toxicity,
             op9_licenses,
             op10_mixing,
+            op11_lexical_search,
             op12_secrets,
             op13_hard_negatives,
         )
@@ -163,6 +172,28 @@ FROM b
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), s AS (SELECT rid, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0
+), c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM s
+), m AS (SELECT rid, doc_id, 100 - 25 + ((25 * n * docs) // terms) AS m FROM s, c
+), p AS (SELECT rid, w, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY rid, w
+), f AS (SELECT w, CAST(floor(1000 * ln((2.0 * docs + 2.0) / (2.0 * df + 1.0))) AS BIGINT) AS weight FROM (SELECT w, count(*) AS df FROM p GROUP BY w), c
+), q AS (
+  SELECT mark, item_id, w, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT row_number() OVER () AS mark, item_id,
+           unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+    FROM benchmark) GROUP BY mark, item_id, w
+), t AS (
+  SELECT mark, item_id, doc_id, rid, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (w) JOIN p USING (w) JOIN m USING (rid) GROUP BY mark, item_id, doc_id, rid
+), r AS (SELECT *, row_number() OVER (PARTITION BY mark ORDER BY score DESC, doc_id NULLS LAST) AS place FROM t WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 20
+"""
+
 OP13_SQL = """
 WITH r AS (
   SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -215,4 +246,4 @@ FROM k
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": _op5_sql(), "op6_quality_rules": OP6_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_line_dedup": _op5_sql(), "op6_quality_rules": OP6_SQL, "op11_lexical_search": OP11_SQL, "op13_hard_negatives": OP13_SQL}
