@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import message, valid_email, valid_phone
 from platter.operators.base import Outcome, fit_to, judge, next_id, refused
+from platter.operators.clashes import first_come
 from platter.operators.sequence import with_position
 from platter.schema import DEFAULTS, USER_TYPES, Tables
 from platter.session import stored
@@ -34,45 +34,6 @@ def delete_users(t: Tables, user_ids: DataFrame) -> Outcome:
     return Outcome(t.with_(users=users), rejects, done)
 
 
-def first_come(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Which rows get their keys when each key value goes to the earliest row that is let in.
-
-    ``rows`` is (position, *keys).  Returns the positions let in, and the
-    positions turned away with the first key that an earlier row holds.  A row turned away
-    takes none of its keys, so a later row may still get them; hence rounds:
-    let in every row that is the first on all its keys, turn away the rows
-    that meet one of those, and go on with the rest.  Each round settles at
-    least the earliest open row; batches without chains of clashes take one.
-    """
-    let_in, turned_away = [], []
-    open_rows = rows
-    while True:
-        tagged = open_rows
-        for key in keys:
-            first = open_rows.groupBy(key).agg(F.min("position").alias(f"_first_{key}"))
-            tagged = tagged.join(first, key, "left")
-        leads = reduce(lambda a, b: a & b, (F.col(f"_first_{k}") == F.col("position") for k in keys))
-        tagged = stored(tagged.withColumn("_leads", leads), "claims")
-        winners = tagged.where("_leads")
-        let_in.append(winners.select("position", *keys))
-        rest = tagged.where(~F.col("_leads"))
-        for key in keys:
-            taken = winners.select(key, F.lit(True).alias(f"_taken_{key}"))
-            rest = rest.join(taken, key, "left")
-        clash = F.coalesce(*(F.col(f"_taken_{k}") for k in keys), F.lit(False))
-        rest = stored(rest.withColumn("_clash", clash).select("position", *keys, "_clash"), "claims")
-        turned_away.append(rest.where("_clash").select("position", *keys))
-        open_rows = rest.where(~F.col("_clash")).select("position", *keys)
-        if open_rows.isEmpty():
-            break
-    holders = reduce(DataFrame.unionByName, let_in)
-    late = reduce(DataFrame.unionByName, turned_away)
-    for key in keys:
-        late = late.join(holders.select(key, F.col("position").alias(f"_held_{key}")), key, "left")
-    held = F.coalesce(*(F.when(F.col(f"_held_{k}") < F.col("position"), F.lit(k)) for k in keys))
-    return holders.select("position"), late.select("position", held.alias("key"))
-
-
 def insert_users(
     t: Tables, new: DataFrame, as_of: object | None = None, order: Sequence[str] = ("request_id",)
 ) -> Outcome:
