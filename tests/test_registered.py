@@ -1,9 +1,10 @@
-"""Every registered query has a twin and agrees with it on the smallest tables."""
+"""Every registered query of the order library has a twin and agrees with it on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
 from checks.compare import connect, rows_of
+from checks.registry import all_queries, all_sql
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,17 +15,19 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, FOLDER)
-    cursor = duck.execute(entry.oracle_sql()[name])
+    df = all_queries()[name](spark, FOLDER)
+    cursor = duck.execute(all_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())
