@@ -394,6 +394,130 @@ def _lost_rows(headers: str) -> str:
     )
 
 
+def broken_books(b: Books) -> Tables:
+    """The whole books with values that break every kind of rule."""
+    t = b.tables
+    late, size = F.col("order_status") == "cancelled", F.col("quantity")
+    return t.with_(
+        users=t.users.withColumns(
+            {
+                "name": F.when(F.col("user_type") != "staff", F.col("name")),
+                "user_type": F.when(F.col("phone") == "12345", F.lit("guest")).otherwise(F.col("user_type")),
+            }
+        ),
+        menu_items=t.menu_items.withColumns(
+            {
+                "category_id": F.when(F.col("description") == "Brand#4", F.lit(-1).cast("bigint")).otherwise(F.col("category_id")),
+                "price": F.when(F.col("description") != "Brand#3", F.col("price")),
+                "preparation_time_minutes": F.col("stock"),
+            }
+        ),
+        orders=t.orders.withColumns(
+            {
+                "user_id": F.when(late & (F.col("payment_status") == "failed"), -F.col("user_id")).otherwise(F.col("user_id")),
+                "payment_method": F.when(F.col("order_status") == "ready", F.lit("cheque")).otherwise(F.col("payment_method")),
+                "total_amount": F.when(F.col("order_status") == "preparing", -F.col("total_amount")).otherwise(F.col("total_amount")).cast("decimal(10,2)"),
+            }
+        ),
+        order_items=t.order_items.withColumns(
+            {
+                "order_id": F.when(size == 7, -F.col("order_id")).otherwise(F.col("order_id")),
+                "item_id": F.when(size == 9, F.lit(None)).when(size == 10, -F.col("item_id")).otherwise(F.col("item_id")),
+                "quantity": F.when(size == 11, F.lit(0)).otherwise(size),
+            }
+        ),
+    )
+
+
+BROKEN_BOOKS = (
+    """
+    b_users AS (SELECT * REPLACE (CASE WHEN user_type <> 'staff' THEN name END AS name,
+                                  CASE WHEN phone = '12345' THEN 'guest' ELSE user_type END AS user_type) FROM m_users)
+    """,
+    """
+    b_menu AS (SELECT * REPLACE (CASE WHEN description = 'Brand#4' THEN -1 ELSE category_id END AS category_id,
+                                 CASE WHEN description <> 'Brand#3' THEN price END AS price,
+                                 stock AS preparation_time_minutes) FROM m_menu)
+    """,
+    """
+    b_orders AS (SELECT * REPLACE (
+      CASE WHEN order_status = 'cancelled' AND payment_status = 'failed' THEN -user_id ELSE user_id END AS user_id,
+      CASE WHEN order_status = 'ready' THEN 'cheque' ELSE payment_method END AS payment_method,
+      CASE WHEN order_status = 'preparing' THEN -total_amount ELSE total_amount END AS total_amount) FROM m_orders)
+    """,
+    """
+    b_lines AS (SELECT * REPLACE (
+      CASE WHEN quantity = 7 THEN -order_id ELSE order_id END AS order_id,
+      CASE WHEN quantity = 9 THEN NULL WHEN quantity = 10 THEN -item_id ELSE item_id END AS item_id,
+      CASE WHEN quantity = 11 THEN 0 ELSE quantity END AS quantity) FROM m_lines)
+    """,
+)
+
+# Kind, table, its rows, primary key, rule, column looked at, when the rule is broken.
+_BREAKS = [
+    ("reference", "orders", "b_orders", "order_id", "Orders without valid user", "user_id",
+     "NOT EXISTS (SELECT 1 FROM b_users p WHERE p.user_id = r.user_id)"),
+    ("reference", "order_items", "b_lines", "order_item_id", "Order_Items without valid order", "order_id",
+     "NOT EXISTS (SELECT 1 FROM b_orders p WHERE p.order_id = r.order_id)"),
+    ("reference", "order_items", "b_lines", "order_item_id", "Order_Items without valid menu item", "item_id",
+     "NOT EXISTS (SELECT 1 FROM b_menu p WHERE p.item_id = r.item_id)"),
+    ("reference", "menu_items", "b_menu", "item_id", "Menu_Items without valid category", "category_id",
+     "NOT EXISTS (SELECT 1 FROM m_categories p WHERE p.category_id = r.category_id)"),
+    ("check", "users", "b_users", "user_id", "wallet_balance_not_negative", "wallet_balance", "wallet_balance < 0"),
+    ("check", "users", "b_users", "user_id", "email_format", "email",
+     r"NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$')"),
+    ("check", "users", "b_users", "user_id", "phone_format", "phone", "NOT regexp_matches(phone, '^[0-9]{10}$')"),
+    ("check", "menu_items", "b_menu", "item_id", "price_positive", "price", "price <= 0"),
+    ("check", "menu_items", "b_menu", "item_id", "preparation_time_positive", "preparation_time_minutes",
+     "preparation_time_minutes <= 0"),
+    ("check", "orders", "b_orders", "order_id", "total_amount_positive", "total_amount", "total_amount <= 0"),
+    ("check", "order_items", "b_lines", "order_item_id", "quantity_positive", "quantity", "quantity <= 0"),
+    ("check", "order_items", "b_lines", "order_item_id", "unit_price_positive", "unit_price", "unit_price <= 0"),
+    ("enum", "users", "b_users", "user_id", "users.user_type", "user_type",
+     "user_type NOT IN ('student', 'faculty', 'staff')"),
+    ("enum", "orders", "b_orders", "order_id", "orders.order_status", "order_status",
+     "order_status NOT IN ('pending', 'confirmed', 'preparing', 'ready', 'completed', 'cancelled')"),
+    ("enum", "orders", "b_orders", "order_id", "orders.payment_method", "payment_method",
+     "payment_method NOT IN ('wallet', 'cash', 'upi', 'card')"),
+    ("enum", "orders", "b_orders", "order_id", "orders.payment_status", "payment_status",
+     "payment_status NOT IN ('pending', 'completed', 'failed', 'refunded')"),
+    *(
+        ("not_null", table, rows, key, f"{table}.{column}", column, f"{column} IS NULL")
+        for table, rows, key, columns in (
+            ("users", "b_users", "user_id", "user_id srn name email user_type"),
+            ("categories", "m_categories", "category_id", "category_id category_name"),
+            ("menu_items", "b_menu", "item_id", "item_id category_id item_name price"),
+            ("orders", "b_orders", "order_id", "order_id user_id total_amount payment_method"),
+            ("order_items", "b_lines", "order_item_id", "order_item_id order_id item_id quantity unit_price subtotal"),
+        )
+        for column in columns.split()
+    ),
+]
+
+
+def _broken_rows(*kinds: str) -> str:
+    return over_model(
+        " UNION ALL ".join(
+            f"SELECT '{table}' AS table_name, {key} AS row_id, '{kind}' AS kind, '{rule}' AS rule, "
+            f"CAST({column} AS VARCHAR) AS value FROM {rows} r WHERE {broken}"
+            for kind, table, rows, key, rule, column, broken in _BREAKS
+            if kind in kinds
+        ),
+        *BROKEN_BOOKS,
+    )
+
+
+def _broken_counts(*kinds: str) -> str:
+    return over_model(
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, '{rule}' AS rule, COUNT(*) AS violations FROM {rows} r WHERE {broken}"
+            for kind, _, rows, _, rule, _, broken in _BREAKS
+            if kind in kinds
+        ),
+        *BROKEN_BOOKS,
+    )
+
+
 JOBS: dict[str, tuple[Job, str]] = {
     "p01_topup_balances": (
         lambda b: wallet.apply_topups(b.tables, topup_requests(b)).tables.users.select("user_id", "wallet_balance"),
@@ -790,11 +914,33 @@ JOBS: dict[str, tuple[Job, str]] = {
         lambda b: quality.integrity_report(b.tables),
         over_model(_lost_rows("m_orders")),
     ),
-    "d1_integrity_early_headers": (
-        lambda b: quality.integrity_report(
-            b.tables.with_(orders=b.tables.orders.where(F.col("order_date") < F.lit(EARLY)))
-        ),
-        over_model(_lost_rows("e_orders"), *EARLY_BOOKS),
+    "d1_orphan_rows": (
+        lambda b: quality.violations(broken_books(b), ("reference",)),
+        _broken_rows("reference"),
+    ),
+    "d3_check_rows": (
+        lambda b: quality.violations(broken_books(b), ("check",)),
+        _broken_rows("check"),
+    ),
+    "d4_enum_rows": (
+        lambda b: quality.violations(broken_books(b), ("enum",)),
+        _broken_rows("enum"),
+    ),
+    "d5_null_rows": (
+        lambda b: quality.violations(broken_books(b), ("not_null",)),
+        _broken_rows("not_null"),
+    ),
+    "d0_audit_rows": (
+        lambda b: quality.audit(broken_books(b)).details,
+        _broken_rows(*quality.KINDS),
+    ),
+    "d0_audit_counts": (
+        lambda b: quality.audit(broken_books(b)).counts,
+        _broken_counts(*quality.KINDS),
+    ),
+    "d0_rule_counts": (
+        lambda b: quality.rule_counts(broken_books(b)),
+        _broken_counts(*quality.KINDS),
     ),
     "d2_uniqueness_report": (
         lambda b: quality.uniqueness_report(b.tables),

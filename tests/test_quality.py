@@ -6,6 +6,7 @@ from platter.functions.expressions import money_text, valid_email, valid_phone
 from platter.operators import quality
 from platter.operators.ordering import derive_subtotal
 from platter.operators.stock import enforce_availability
+from platter.sources.retail import retail_tables
 from tests.seed import T0, item, line, order, tables, user, values
 
 
@@ -77,3 +78,35 @@ def test_triggers(spark):
         (1, False), (2, False), (3, True), (4, True), (5, False)]
     assert enforce_availability(menu, late).where(F.col("updated_at") == F.lit(late)).count() == 2
     assert T0 < late
+
+
+def test_audit_counts_what_it_writes(spark, tmp_path):
+    t = tables(spark, [user(1), user(2, balance="-1", kind="guest", phone="1")], [item(1, 9, 0, 5)], [order(1, 1, 5), order(2, 8, 0, status="lost")],
+               [line(1, 1, 1, 1, 5), line(2, 7, 6, 0, 5)])
+    t = t.with_(users=t.users.withColumn("name", F.when(F.col("user_id") == 1, F.col("name"))))
+    done = quality.audit(t, str(tmp_path / "violations"))
+    rows = done.details.groupBy("kind", "rule").count()
+    counts = {(r["kind"], r["rule"]): r["violations"] for r in done.counts.collect()}
+    assert {k: n for k, n in counts.items() if n} == {(r["kind"], r["rule"]): r["count"] for r in rows.collect()}
+    assert counts == {(r["kind"], r["rule"]): r["violations"] for r in quality.rule_counts(t).collect()}
+    assert counts["reference", "Orders without valid user"] == 1 and counts["not_null", "users.name"] == 1
+    got = {(r["table_name"], r["row_id"], r["rule"], r["value"]) for r in quality.violations(t, ("enum", "check")).collect()}
+    assert got == {("users", 2, "wallet_balance_not_negative", "-1.00"), ("users", 2, "phone_format", "1"), ("users", 2, "users.user_type", "guest"),
+                   ("menu_items", 1, "price_positive", "0.00"), ("orders", 2, "total_amount_positive", "0.00"),
+                   ("orders", 2, "orders.order_status", "lost"), ("order_items", 2, "quantity_positive", "0")}
+
+
+def test_a_repeated_parent_does_not_repeat_a_violation(spark):
+    t = tables(spark, [user(1), user(1)], [], [order(1, 1, 0)], [])
+    assert quality.violations(t, ("reference", "check")).count() == 1
+
+
+def test_one_scan_per_table(spark):
+    t = retail_tables(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    unique = plan(quality.uniqueness_report(t))
+    assert unique.count("lineitem.parquet") == unique.count("customer.parquet") == 1
+    for frame in (quality.violations(t), quality.rule_counts(t)):
+        assert plan(frame).count("lineitem.parquet") == 1
+    for frame in (quality.violations(t, ("check", "enum", "not_null")), quality.rule_counts(t, ("check", "enum", "not_null"))):
+        assert all(plan(frame).count(f"{name}.parquet") == 1 for name in ("customer", "orders", "lineitem"))
