@@ -14,7 +14,13 @@ m_users AS (
          CAST(CAST(c_acctbal AS DECIMAL(10,2)) * 100 AS DECIMAL(10,2)) AS wallet_balance,
          TIMESTAMP '1994-01-01 00:00:00' + to_days(c_nationkey) AS created_at,
          TIMESTAMP '1994-01-01 00:00:00' + to_days(c_nationkey) AS updated_at
-  FROM customer),
+  FROM customer
+  UNION ALL
+  SELECT 1000000000000 + s_suppkey, 'SUP' || CAST(s_suppkey AS VARCHAR), s_name,
+         'supplier' || CAST(s_suppkey AS VARCHAR) || '@example.com', lpad(CAST(s_suppkey AS VARCHAR), 10, '9'), 'staff',
+         CAST(CAST(s_acctbal AS DECIMAL(10,2)) * 100 AS DECIMAL(10,2)),
+         TIMESTAMP '1994-01-01 00:00:00' + to_days(s_nationkey), TIMESTAMP '1994-01-01 00:00:00' + to_days(s_nationkey)
+  FROM supplier),
 m_categories AS (
   SELECT CAST('0x' || substr(md5(p_type), 1, 15) AS BIGINT) AS category_id,
          p_type AS category_name,
@@ -35,7 +41,14 @@ m_menu AS (
          CAST(NULL AS VARCHAR) AS nutritional_info,
          TIMESTAMP '1994-06-01 00:00:00' + to_days(p_size) AS created_at,
          TIMESTAMP '1998-01-01 00:00:00' + to_days(p_size * 7) AS updated_at
-  FROM part),
+  FROM part
+  UNION ALL
+  SELECT 1000000000000 + s_suppkey,
+         CAST('0x' || substr(md5(CASE WHEN s_nationkey < 10 THEN 'SMALL' ELSE 'LARGE' END), 1, 15) AS BIGINT),
+         s_name, NULL, CAST(abs(CAST(s_acctbal AS DECIMAL(10,2))) + CAST(1 AS DECIMAL(8,2)) AS DECIMAL(8,2)),
+         s_nationkey - 2, s_nationkey > 4, s_nationkey + 1, NULL, NULL,
+         TIMESTAMP '1994-06-01 00:00:00' + to_days(s_nationkey), TIMESTAMP '1998-01-01 00:00:00' + to_days(s_nationkey)
+  FROM supplier),
 m_orders AS (
   SELECT o_orderkey AS order_id,
          o_custkey AS user_id,

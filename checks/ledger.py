@@ -8,19 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.binding import over_model
-from checks.reports import _before
 from platter.operators import ordering, people, quality, stock, wallet
 from platter.schema import Tables
-from platter.sources.retail import read_source, retail_tables
-
-EARLY = date(1995, 7, 1)
-
+from platter.sources.retail import SUPPLIER_IDS, read_source, retail_tables
 
 @dataclass(frozen=True)
 class Books:
@@ -147,23 +141,27 @@ ORDER_IDS = "order_ids AS (SELECT DISTINCT event_id * 3 AS order_id FROM events)
 
 
 def user_id_requests(b: Books) -> DataFrame:
-    return b.raw("events").select((F.col("user_id") * 11).alias("user_id"))
+    """Buyers, users who never ordered, and ids that nobody has."""
+    suppliers = b.raw("supplier").select((F.lit(SUPPLIER_IDS) + F.col("s_suppkey") * (F.col("s_nationkey") - 3)).alias("user_id"))
+    return b.raw("events").select((F.col("user_id") * 11).alias("user_id")).unionByName(suppliers)
 
 
-USER_IDS = "user_ids AS (SELECT DISTINCT user_id * 11 AS user_id FROM events)"
+USER_IDS = """
+user_ids AS (SELECT user_id * 11 AS user_id FROM events
+             UNION SELECT 1000000000000 + s_suppkey * (s_nationkey - 3) FROM supplier)
+"""
 
 
 def item_id_requests(b: Books) -> DataFrame:
-    return b.raw("events").select((F.col("user_id") * 20).alias("item_id"))
+    """Items that sold, items that never did, and ids of none."""
+    suppliers = b.raw("supplier").select((F.lit(SUPPLIER_IDS) + F.col("s_suppkey") * (F.col("s_nationkey") - 3)).alias("item_id"))
+    return b.raw("events").select((F.col("user_id") * 20).alias("item_id")).unionByName(suppliers)
 
 
-ITEM_IDS = "item_ids AS (SELECT DISTINCT user_id * 20 AS item_id FROM events)"
-
-EARLY_BOOKS = (
-    "e_orders AS (SELECT * FROM m_orders WHERE order_date < DATE '1995-07-01')",
-    "e_lines AS (SELECT l.* FROM m_lines l JOIN e_orders o ON l.order_id = o.order_id)",
-)
-
+ITEM_IDS = """
+item_ids AS (SELECT user_id * 20 AS item_id FROM events
+             UNION SELECT 1000000000000 + s_suppkey * (s_nationkey - 3) FROM supplier)
+"""
 
 def stock_requests(b: Books) -> DataFrame:
     kind = F.col("p_type")
@@ -696,28 +694,26 @@ JOBS: dict[str, tuple[Job, str]] = {
         ),
     ),
     "p06_delete_users": (
-        lambda b: people.delete_users(_before(b.tables, EARLY), user_id_requests(b)).tables.users,
+        lambda b: people.delete_users(b.tables, user_id_requests(b)).tables.users,
         over_model(
             """
             SELECT * FROM m_users
-            WHERE NOT (user_id IN (SELECT user_id FROM user_ids) AND user_id NOT IN (SELECT user_id FROM e_orders))
+            WHERE NOT (user_id IN (SELECT user_id FROM user_ids) AND user_id NOT IN (SELECT user_id FROM m_orders))
             """,
             USER_IDS,
-            *EARLY_BOOKS,
         ),
     ),
     "p06_delete_users_rejects": (
-        lambda b: people.delete_users(_before(b.tables, EARLY), user_id_requests(b)).rejects,
+        lambda b: people.delete_users(b.tables, user_id_requests(b)).rejects,
         over_model(
             """
-            SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM e_orders)
+            SELECT user_id, CASE WHEN user_id IN (SELECT user_id FROM m_orders)
                                  THEN 'Cannot delete user with existing orders. Cancel orders first.'
                                  ELSE 'user_not_found' END AS reason
             FROM user_ids
-            WHERE user_id IN (SELECT user_id FROM e_orders) OR user_id NOT IN (SELECT user_id FROM m_users)
+            WHERE user_id IN (SELECT user_id FROM m_orders) OR user_id NOT IN (SELECT user_id FROM m_users)
             """,
             USER_IDS,
-            *EARLY_BOOKS,
         ),
     ),
     "p07_status_orders": (
@@ -761,36 +757,34 @@ JOBS: dict[str, tuple[Job, str]] = {
         ),
     ),
     "p08_delete_items": (
-        lambda b: stock.delete_menu_items(_before(b.tables, EARLY), item_id_requests(b)).tables.menu_items.select(
+        lambda b: stock.delete_menu_items(b.tables, item_id_requests(b)).tables.menu_items.select(
             *_MENU
         ),
         over_model(
             """
             SELECT item_id, CASE WHEN asked THEN 0 ELSE stock END AS stock, is_available AND NOT asked AS is_available
             FROM (SELECT m.*, item_id IN (SELECT item_id FROM item_ids) AS asked,
-                         item_id IN (SELECT item_id FROM e_lines) AS sold FROM m_menu m) s
+                         item_id IN (SELECT item_id FROM m_lines) AS sold FROM m_menu m) s
             WHERE NOT asked OR sold
             """,
             ITEM_IDS,
-            *EARLY_BOOKS,
         ),
     ),
     "p08_delete_items_actions": (
-        lambda b: stock.delete_menu_items(_before(b.tables, EARLY), item_id_requests(b)).done,
+        lambda b: stock.delete_menu_items(b.tables, item_id_requests(b)).done,
         over_model(
             """
             SELECT item_id, CASE WHEN sold THEN 'soft' ELSE 'hard' END AS action,
                    CASE WHEN sold THEN 'Menu item ' || item_id || ' marked as unavailable (has order history)'
                         ELSE 'Menu item ' || item_id || ' deleted successfully' END AS message
-            FROM (SELECT item_id, item_id IN (SELECT item_id FROM e_lines) AS sold FROM m_menu
+            FROM (SELECT item_id, item_id IN (SELECT item_id FROM m_lines) AS sold FROM m_menu
                   WHERE item_id IN (SELECT item_id FROM item_ids)) s
             """,
             ITEM_IDS,
-            *EARLY_BOOKS,
         ),
     ),
     "p08_delete_items_rejects": (
-        lambda b: stock.delete_menu_items(_before(b.tables, EARLY), item_id_requests(b)).rejects,
+        lambda b: stock.delete_menu_items(b.tables, item_id_requests(b)).rejects,
         over_model(
             """
             SELECT item_id, 'item_not_found' AS reason FROM item_ids

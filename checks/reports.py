@@ -46,12 +46,6 @@ def _large_orders(t: Tables) -> DataFrame:
 _LARGE = "SELECT order_id FROM m_orders WHERE total_amount >= 400000 AND payment_status = 'completed'"
 
 
-def _before(t: Tables, day: date) -> Tables:
-    """The books as they stood before ``day``."""
-    early = t.orders.where(F.col("order_date") < F.lit(day))
-    return t.with_(orders=early, order_items=t.order_items.join(early.select("order_id"), "order_id", "left_semi"))
-
-
 REPORTS: dict[str, tuple[Plan, str]] = {
     "q01_table_counts": (
         overview.table_counts,
@@ -408,15 +402,6 @@ REPORTS: dict[str, tuple[Plan, str]] = {
         WHERE l.item_id IS NULL
         """,
     ),
-    "q37_items_not_ordered_by_day": (
-        lambda t: menu.never_ordered(_before(t, date(1995, 7, 1))),
-        """
-        SELECT m.item_id, m.item_name, c.category_name, m.price, m.stock
-        FROM m_menu m JOIN m_categories c ON m.category_id = c.category_id
-        WHERE NOT EXISTS (SELECT 1 FROM m_lines l JOIN m_orders o ON l.order_id = o.order_id
-                          WHERE l.item_id = m.item_id AND o.order_date < DATE '1995-07-01')
-        """,
-    ),
     "q38_order_counts": (
         overview.order_counts,
         """
@@ -444,15 +429,6 @@ REPORTS: dict[str, tuple[Plan, str]] = {
              ON h.user_id = u.user_id
         """,
     ),
-    "q40_users_with_history_by_day": (
-        lambda t: customers.users_with_history(_before(t, date(1996, 1, 1))),
-        """
-        SELECT u.user_id, u.srn, u.name, u.email, u.user_type, u.wallet_balance, COALESCE(h.n, 0) AS order_count,
-               CASE WHEN COALESCE(h.n, 0) = 0 THEN 'Yes' ELSE 'No' END AS can_delete
-        FROM m_users u LEFT JOIN (SELECT user_id, COUNT(*) AS n FROM m_orders WHERE order_date < DATE '1996-01-01'
-                                  GROUP BY user_id) h ON h.user_id = u.user_id
-        """,
-    ),
     "q41_user_counts": (
         overview.user_counts,
         """

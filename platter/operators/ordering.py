@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import line_amount, message
@@ -96,6 +96,29 @@ def with_line_totals(orders: DataFrame, lines: DataFrame, as_of: object | None =
     return changed(joined, total.isNotNull(), total_amount=total, updated_at=stamp(as_of)).select(*orders.columns)
 
 
+def _wide_amount(price: str, quantity: Column) -> Column:
+    """Price times quantity with room for figures that no column of a line holds."""
+    return F.col(price).cast("decimal(10,2)") * quantity.cast("decimal(20,0)")
+
+
+def _orders_beyond(merged: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Orders (order_id) that would get a quantity, an amount of a line or a total out of the range of its column."""
+    grown = F.col("quantity").cast("bigint") + F.col("_added")
+    old = merged.select(
+        "order_id",
+        F.coalesce(grown, F.col("quantity").cast("bigint")).alias("quantity"),
+        F.coalesce(_wide_amount("unit_price", grown), F.col("subtotal")).cast("decimal(32,2)").alias("amount"),
+    )
+    new = fresh.select(
+        "order_id", F.col("quantity").cast("bigint"), _wide_amount("unit_price", F.col("quantity")).cast("decimal(32,2)").alias("amount")
+    )
+    figures = old.unionByName(new).groupBy("order_id").agg(
+        F.max("quantity").alias("quantity"), F.max("amount").alias("amount"), F.sum("amount").alias("total")
+    )
+    most = F.lit(MONEY_MOST)
+    return figures.where((F.col("quantity") > COUNT_MOST) | (F.col("amount") > most) | (F.col("total") > most)).select("order_id")
+
+
 def add_items_to_orders(
     t: Tables,
     requests: DataFrame,
@@ -107,8 +130,9 @@ def add_items_to_orders(
 
     Quantities for the same order and item are summed first.  A line that
     exists keeps its own unit price, a new line takes the price of today.
-    Neither orders nor lines that the batch leaves alone are shuffled when
-    the batch is small enough to broadcast.
+    Lines are narrowed to the orders of the batch before anything else is
+    done with them; the others pass through.  All requests for an order are refused if one
+    of its figures would leave the range of its column.
     """
     items = t.menu_items.select(
         "item_id",
@@ -134,24 +158,34 @@ def add_items_to_orders(
     added = stored(
         accepted.groupBy(*keys).agg(F.sum("quantity").alias("_added"), F.max("_price").alias("_price")), "added"
     )
-    touched = added.select("order_id").distinct()
-
-    joined = t.order_items.join(added, keys, "left")
+    near = stored(t.order_items.join(added.select("order_id").distinct(), "order_id", "left_semi"), "touched-lines")
+
+    def merge(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Lines of the orders asked for, with what is added to them, and the lines that are new."""
+        present = near.select(*keys).distinct()
+        fresh = asked.join(present, keys, "left_anti").select(
+            *keys, F.col("_added").alias("quantity"), F.col("_price").alias("unit_price")
+        )
+        return near.join(asked, keys, "left"), fresh
+
+    beyond = stored(_orders_beyond(*merge(added)), "beyond-range")
+    off = accepted.join(beyond, "order_id", "left_semi").withColumn("reason", F.lit("amount_out_of_range"))
+    if not beyond.isEmpty():
+        added = added.join(beyond, "order_id", "left_anti")
+        near = near.join(beyond, "order_id", "left_anti")
+    merged, fresh = merge(added)
     grown = F.col("quantity") + F.col("_added")
     kept = changed(
-        joined, F.col("_added").isNotNull(), quantity=grown, subtotal=line_amount("unit_price", grown)
+        merged, F.col("_added").isNotNull(), quantity=grown, subtotal=line_amount("unit_price", grown)
     ).select(*t.order_items.columns)
-
-    present = t.order_items.select(*keys).join(added.select(*keys), keys, "left_semi").distinct()
-    fresh = added.join(present, keys, "left_anti").select(
-        *keys, F.col("_added").alias("quantity"), F.col("_price").alias("unit_price")
-    )
     fresh = with_position(derive_subtotal(fresh), *keys, chunk_rows=chunk_rows).withColumn(
         "order_item_id", F.col("position") + next_id(t.order_items, "order_item_id")
     )
-    lines = kept.unionByName(fit_to(t.order_items, fresh))
-    orders = with_line_totals(t.orders, lines.join(touched, "order_id", "left_semi"), as_of)
-    return Outcome(t.with_(orders=orders, order_items=lines), rejected.select(*requests.columns, "reason"))
+    touched = kept.unionByName(fit_to(t.order_items, fresh))
+    untouched = t.order_items.join(added.select("order_id").distinct(), "order_id", "left_anti")
+    orders = with_line_totals(t.orders, touched, as_of)
+    rejects = rejected.select(*requests.columns, "reason").unionByName(off.select(*requests.columns, "reason"))
+    return Outcome(t.with_(orders=orders, order_items=untouched.unionByName(touched)), rejects)
 
 
 def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None) -> Outcome:
@@ -161,8 +195,10 @@ def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None)
     their user together, would leave the range of the column.
     """
     wanted = order_ids.select("order_id").distinct()
-    known = t.orders.join(wanted, "order_id", "left_semi")
-    crossed = beyond_range(t.menu_items, lines_of(t.order_items, known), 1)
+    header = t.orders.select("order_id", "user_id", "total_amount", "payment_status", "payment_method")
+    known = stored(header.join(wanted, "order_id", "left_semi"), "doomed-orders")
+    asked = stored(lines_of(t.order_items, known).select("order_id", "item_id", "quantity"), "doomed-lines")
+    crossed = beyond_range(t.menu_items, asked, 1)
     paid_back = (F.col("payment_status") == "completed") & (F.col("payment_method") == "wallet")
     gains = known.where(paid_back).groupBy("user_id").agg(F.sum(F.greatest("total_amount", F.lit(0))).alias("_most"))
     rich = t.users.select("user_id", "wallet_balance").join(gains, "user_id").where(
@@ -172,10 +208,14 @@ def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None)
     off = refused(crossed, "stock_out_of_range").unionByName(
         refused(overpaid.join(crossed, "order_id", "left_anti"), "refund_out_of_range")
     )
-    doomed = known.join(off.select("order_id"), "order_id", "left_anti")
+    off = stored(off, "doomed-refused")
+    doomed, returned = known, asked
+    if not off.isEmpty():
+        doomed = known.join(off.select("order_id"), "order_id", "left_anti")
+        returned = asked.join(off.select("order_id"), "order_id", "left_anti")
     ids = doomed.select("order_id")
 
-    menu = return_stock(t.menu_items, lines_of(t.order_items, ids), as_of)
+    menu = return_stock(t.menu_items, returned, as_of)
     refunds = (
         doomed.where(paid_back)
         .groupBy("user_id")

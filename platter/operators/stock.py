@@ -11,6 +11,7 @@ from platter.functions.expressions import message
 from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
 from platter.operators.sequence import with_position
 from platter.schema import COUNT_MOST, DEFAULTS, Tables
+from platter.session import stored
 
 
 def enforce_availability(menu: DataFrame, as_of: object | None = None) -> DataFrame:
@@ -39,9 +40,9 @@ def deduct_stock(t: Tables, order_ids: DataFrame, as_of: object | None = None) -
     of the orders touched.  Orders of an item whose stock would leave the
     range of its column are refused.
     """
-    asked = lines_of(t.order_items, order_ids)
-    crossed = beyond_range(t.menu_items, asked, -1)
-    lines = asked.join(crossed, "order_id", "left_anti")
+    asked = stored(lines_of(t.order_items, order_ids).select("order_id", "item_id", "quantity"), "asked-lines")
+    crossed = stored(beyond_range(t.menu_items, asked, -1), "asked-refused")
+    lines = asked if crossed.isEmpty() else asked.join(crossed, "order_id", "left_anti")
     joined = t.menu_items.join(_quantity_by_item(lines), "item_id", "left")
     moved = changed(
         joined, F.col("moved").isNotNull(), stock=F.col("stock") - F.col("moved"), updated_at=stamp(as_of)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import all_of, contains_text, delete_type, line_amount, mean, stock_status
 from platter.functions.expressions import money_sum
-from platter.plans.views import item_totals, latest_first, popular_items, top, with_category
+from platter.plans.views import count_where, item_totals, latest_first, popular_items, top, with_category
 from platter.schema import LOW_STOCK, TOTAL, Tables
 
 BY_CATEGORY = ("category_name", "item_name", "item_id")
@@ -125,41 +125,56 @@ def category_statistics(t: Tables) -> DataFrame:
     """Items, orders, quantity, revenue and price range per category, unsold items included.
 
     ``avg_item_price`` weighs an item by its lines (one if it never sold);
-    ``mean_list_price`` counts every item once.  Lines are summed per item
-    before they meet the menu, so only the order count needs the raw lines.
+    ``mean_list_price`` counts every item once.  The lines are scanned and shuffled once:
+    grouped by (category, order) to count orders and, in the same step, by (category, item) for
+    the sums, which are partial sums by the time they leave the map tasks.
+    What unsold items add comes from the menu alone.
     """
     items = t.menu_items.select("item_id", "category_id", "price")
-    weight = F.greatest(F.coalesce("order_count", F.lit(0)), F.lit(1))
-    per_item = items.join(item_totals(t.order_items), "item_id", "left").withColumn("weight", weight)
-    figures = per_item.groupBy("category_id").agg(
+    sold = t.order_items.select("item_id", "order_id", "quantity", "subtotal").join(items, "item_id")
+    by_order, by_item = ([F.col("category_id"), F.col(c)] for c in ("order_id", "item_id"))
+    pairs = sold.groupingSets([by_order, by_item], "category_id", "order_id", "item_id").agg(
+        F.grouping("item_id").alias("of_order"),
+        F.count("*").alias("lines"),
+        F.sum("quantity").alias("quantity"),
+        F.sum("subtotal").alias("subtotal"),
+        F.max("price").alias("price"),
+    )
+    item = F.col("of_order") == 0
+    sales = pairs.groupBy("category_id").agg(
+        count_where(~item).alias("order_count"),
+        count_where(item).alias("sold_items"),
+        F.sum(F.when(item, F.col("lines"))).alias("lines"),
+        F.sum(F.when(item, F.col("quantity"))).cast("bigint").alias("total_quantity_sold"),
+        F.sum(F.when(item, F.col("subtotal"))).cast(TOTAL).alias("total_revenue"),
+        F.sum(F.when(item, F.col("price") * F.col("lines"))).alias("line_prices"),
+        F.sum(F.when(item, F.col("price"))).alias("sold_prices"),
+    )
+    listed = items.groupBy("category_id").agg(
         F.count("*").alias("item_count"),
-        F.sum("total_quantity_sold").cast("bigint").alias("total_quantity_sold"),
-        money_sum("total_sales").alias("total_revenue"),
-        (
-            F.sum(F.col("price") * F.col("weight")).cast("double") / F.sum("weight").cast("double")
-        ).alias("avg_item_price"),
+        F.sum("price").alias("prices"),
         mean("price").alias("mean_list_price"),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
     )
-    orders = (
-        t.order_items.select("item_id", "order_id")
-        .join(items.select("item_id", "category_id"), "item_id")
-        .groupBy("category_id")
-        .agg(F.countDistinct("order_id").alias("order_count"))
-    )
+
+    def or_none(name: str) -> Column:
+        return F.coalesce(name, F.lit(0))
+
+    weighed = F.col("prices") - or_none("sold_prices") + or_none("line_prices")
+    weight = F.col("item_count") - or_none("sold_items") + or_none("lines")
     return (
         t.categories.select("category_id", "category_name")
-        .join(figures, "category_id")
-        .join(orders, "category_id", "left")
+        .join(listed, "category_id")
+        .join(sales, "category_id", "left")
         .orderBy(F.col("total_revenue").desc(), "category_id")
         .select(
             "category_name",
             "item_count",
-            F.coalesce("order_count", F.lit(0)).alias("order_count"),
+            or_none("order_count").alias("order_count"),
             "total_quantity_sold",
             "total_revenue",
-            "avg_item_price",
+            (weighed.cast("double") / weight.cast("double")).alias("avg_item_price"),
             "mean_list_price",
             "min_price",
             "max_price",

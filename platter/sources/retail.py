@@ -1,9 +1,11 @@
 """Adapter that reads a retail star schema as an order snapshot.
 
 Customers become users, parts become menu items, part types become
-categories, order headers and lines keep their roles.  Every column is
-computed from its own row, so reading through the adapter adds no join and
-no shuffle, and unused columns are not read.  Only the categories are a
+categories, order headers and lines keep their roles.  Suppliers become
+further users and further items, in id ranges of their own: no order names
+them, so users without orders and items that never sold stand in the whole
+tables.  Every column is computed from its own row, so reading through the
+adapter adds no join and no shuffle, and unused columns are not read.  Only the categories are a
 distinct list; a short one is kept as a local frame once it is needed.
 """
 
@@ -51,6 +53,18 @@ USERS = (
     f"{SIGNED_UP} AS created_at",
     f"{SIGNED_UP} AS updated_at",
 )
+SUPPLIER_IDS = 10**12
+SUPPLIER_USERS = (
+    f"{SUPPLIER_IDS} + s_suppkey AS user_id",
+    "concat('SUP', cast(s_suppkey AS string)) AS srn",
+    "s_name AS name",
+    "concat('supplier', cast(s_suppkey AS string), '@example.com') AS email",
+    "lpad(cast(s_suppkey AS string), 10, '9') AS phone",
+    "'staff' AS user_type",
+    "cast(cast(s_acctbal AS decimal(10,2)) * 100 AS decimal(10,2)) AS wallet_balance",
+    "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(s_nationkey) AS created_at",
+    "timestamp_ntz'1994-01-01 00:00:00' + make_dt_interval(s_nationkey) AS updated_at",
+)
 CATEGORIES = (
     f"{CATEGORY_ID} AS category_id",
     "p_type AS category_name",
@@ -72,6 +86,20 @@ MENU_ITEMS = (
     "timestamp_ntz'1994-06-01 00:00:00' + make_dt_interval(p_size) AS created_at",
     "timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(p_size * 7) AS updated_at",
 )
+SUPPLIER_ITEMS = (
+    f"{SUPPLIER_IDS} + s_suppkey AS item_id",
+    "cast(conv(substring(md5(if(s_nationkey < 10, 'SMALL', 'LARGE')), 1, 15), 16, 10) AS bigint) AS category_id",
+    "s_name AS item_name",
+    "cast(NULL AS string) AS description",
+    "cast(abs(cast(s_acctbal AS decimal(10,2))) + 1.00BD AS decimal(8,2)) AS price",
+    "s_nationkey - 2 AS stock",
+    "s_nationkey > 4 AS is_available",
+    "s_nationkey + 1 AS preparation_time_minutes",
+    "cast(NULL AS string) AS image_url",
+    "cast(NULL AS string) AS nutritional_info",
+    "timestamp_ntz'1994-06-01 00:00:00' + make_dt_interval(s_nationkey) AS created_at",
+    "timestamp_ntz'1998-01-01 00:00:00' + make_dt_interval(s_nationkey) AS updated_at",
+)
 ORDERS = (
     "o_orderkey AS order_id",
     "o_custkey AS user_id",
@@ -104,15 +132,19 @@ ORDER_ITEMS = (
 def retail_tables(spark: SparkSession, folder: str) -> Tables:
     """The snapshot behind the star schema in ``folder``."""
 
-    def view(source: str, columns: tuple[str, ...]) -> Callable[[], DataFrame]:
-        return lambda: read_source(spark, folder, source).selectExpr(*columns)
+    def view(source: str, columns: tuple[str, ...], more: tuple[str, ...] = ()) -> Callable[[], DataFrame]:
+        def frame() -> DataFrame:
+            rows = read_source(spark, folder, source).selectExpr(*columns)
+            return rows.unionByName(read_source(spark, folder, "supplier").selectExpr(*more)) if more else rows
+
+        return frame
 
     return Tables(
-        users=view("customer", USERS),
+        users=view("customer", USERS, SUPPLIER_USERS),
         categories=lambda: held_if_small(
             read_source(spark, folder, "part").select("p_type").distinct().selectExpr(*CATEGORIES)
         ),
-        menu_items=view("part", MENU_ITEMS),
+        menu_items=view("part", MENU_ITEMS, SUPPLIER_ITEMS),
         orders=view("orders", ORDERS),
         order_items=view("lineitem", ORDER_ITEMS),
     )
