@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platter.llm.arrays import mix64
@@ -241,11 +241,37 @@ def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similar: float)
     return with_both(rough, texts).mapInArrow(_passing(aligned, similar - 1e-9), "a bigint, b bigint")
 
 
-def _open_groups(groups: DataFrame, whole: DataFrame | None) -> DataFrame:
-    """The rows of ``groups`` (key, node, ...) whose key has several classes, with the class as ``root``."""
+def _may_meet(rows: DataFrame, by: str, similar: float) -> DataFrame:
+    """The ``rows`` that can be similar to a row of another class (``root``) with the same ``by``.
+
+    A row has ``size``, ``differs`` and ``shared`` as in ``_pairs``, and what is left out there for any partner is left
+    out here before it is joined or dealt out. Two texts can only be similar if differs + differs - 2 shared is at most a part
+    of both sizes, whichever of the two ``shared`` is taken. So each class is brought to the least that it adds to
+    either side, each group to the least of any class and the least of the others, and a row is held against the classes
+    not its own.
+    """
+    part = (1 - similar) / (1 + similar)
+    own = F.col("differs") - part * F.col("size")
+    least = rows.groupBy(by, "root").agg(F.min(own).alias("one"), F.min(own - 2 * F.col("shared")).alias("two"))
+    group = Window.partitionBy(by)
+    firsts = [F.min(F.struct(c, "root")).over(group).alias(f"first_{c}") for c in ("one", "two")]
+    least = least.select(by, "root", "one", "two", *firsts)
+    seconds = [F.min(F.when(F.col("root") != F.col(f"first_{c}.root"), F.col(c))).alias(f"next_{c}") for c in ("one", "two")]
+    bounds = least.groupBy(by).agg(F.first("first_one").alias("first_one"), F.first("first_two").alias("first_two"), *seconds)
+    bounds = bounds.where("next_one IS NOT NULL").withColumnRenamed(by, "_by")
+
+    def others(c: str) -> Column:
+        return F.when(F.col("root") != F.col(f"first_{c}.root"), F.col(f"first_{c}.{c}")).otherwise(F.col(f"next_{c}"))
+
+    room = part * F.col("size") - F.col("differs") + 1e-6
+    fits = (others("one") <= room + 2 * F.col("shared")) & (others("two") <= room)
+    return rows.join(bounds, (F.col(by) == F.col("_by")) & fits, "left_semi")
+
+
+def _open_groups(groups: DataFrame, whole: DataFrame | None, similar: float) -> DataFrame:
+    """The rows of ``groups`` (key, node, ...) that may be similar to one of another class, with the class as ``root``."""
     now = groups.join(whole, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return now.join(mixed.select("key"), "key", "left_semi")
+    return _may_meet(now, "key", similar)
 
 
 def _pairs(anchors: DataFrame, members: DataFrame, similar: float) -> DataFrame:
@@ -281,8 +307,8 @@ def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFram
     of_anchor = texts.select(F.col("node").alias("anchor"), F.col("shingles").alias("base"))
     both = crowd.join(texts, "node").join(of_anchor, "anchor").select("node", "anchor", "root", "shingles", "base")
     apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, base int, apart array<bigint>")
-    apart = stored(apart, "apart")
-    each = apart.select("node", "anchor", "root", "size", "base", F.size("apart").alias("differs"), F.explode("apart").alias("e"))
+    apart = stored(apart.withColumn("differs", F.size("apart")).withColumn("shared", F.size("apart")), "apart")
+    each = _may_meet(apart, "anchor", similar).select("node", "anchor", "root", "size", "base", "differs", F.explode("apart").alias("e"))
     each = each.withColumn("key", F.xxhash64("anchor", "e"))
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
     often = often.where("low <> high").select("key", "members")
@@ -301,15 +327,15 @@ def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFram
 
 
 def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:
-    """(node, root) of the nodes that have links; ``nodes``: node, id, size, keys, sign."""
+    """(node, root) of the nodes that have links; ``nodes``: node, mark, size, keys, sign."""
     keyed = nodes.select("node", "size", F.col("size").alias("differs"), F.col("size").alias("shared"), F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stored(keyed.join(several, "key"), "buckets")
     if buckets.isEmpty():
         return None
     known = stored(buckets.groupBy("node").agg(F.sum("members").alias("meets")), "active")
-    signs = stored(nodes.select("node", "id", "sign").join(known, "node", "left_semi"), "signatures")
-    texts = stored(texts_of(signs.select("node", "id")), "shingles")
+    signs = stored(nodes.select("node", "mark", "sign").join(known, "node", "left_semi"), "signatures")
+    texts = stored(texts_of(signs.select("node", "mark")), "shingles")
     signs = signs.select("node", "sign")
 
     def linked(pairs: DataFrame, whole: DataFrame | None) -> DataFrame:
@@ -321,10 +347,10 @@ def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:
     best = stored(best.select("key", F.col("best.node").alias("anchor"), "best.size"), "anchors")
     whole_size = [F.col("size").alias(c) for c in ("differs", "shared")]
     whole = linked(_pairs(best.select("key", F.col("anchor").alias("node"), "size", *whole_size, F.col("anchor").alias("root")), alone, similar), None)
-    few = stored(_open_groups(buckets.where(F.col("members").between(3, FEW)), whole), "few")
+    few = stored(_open_groups(buckets.where(F.col("members").between(3, FEW)), whole, similar), "few")
     if not few.isEmpty():
         whole = linked(_pairs(few, few, similar), whole)
-    crowd = _open_groups(buckets.where(F.col("members") > FEW), whole).join(best.select("key", "anchor"), "key")
+    crowd = _open_groups(buckets.where(F.col("members") > FEW), whole, similar).join(best.select("key", "anchor"), "key")
     crowd = stored(crowd.select("node", "anchor", "root").distinct(), "crowd")
     if crowd.isEmpty():
         return whole
@@ -332,7 +358,7 @@ def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:
     unit = F.col("node").cast("double") / float(1 << 63)
     tried, wanted = 0, ANCHORS
     while True:
-        mixed = stored(_open_groups(lists.where(F.col("members") > tried), whole), "open")
+        mixed = stored(_open_groups(lists.where(F.col("members") > tried), whole, similar), "open")
         if mixed.isEmpty():
             return whole
         fresh = (unit * F.col("members") < wanted) | (F.col("members") <= wanted)
@@ -361,10 +387,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = stored(sketched.groupBy("node").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")), "copies")
     chosen = copies.select("node", "best.id", "best.mark")
     nodes = sketched.join(chosen.select("node", "mark"), ["node", "mark"], "left_semi").where("size > 0").dropDuplicates(["node"])
-    nodes = stored(nodes.select("node", "id", "size", "keys", "sign"), "nodes")
+    nodes = stored(nodes.select("node", "mark", "size", "keys", "sign"), "nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        found = rows.select(F.col("id").alias("row_id"), "body").join(wanted, F.col("row_id").eqNullSafe(F.col("id")))
+        found = rows.select("mark", "body").join(wanted, "mark")
         return found.select("node", "body").mapInArrow(_shingled, "node bigint, shingles binary").dropDuplicates(["node"])
 
     whole = _classes(nodes, texts_of, similar)

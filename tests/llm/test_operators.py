@@ -434,3 +434,31 @@ def test_short_similar_texts_share_a_key_and_pass_the_rough_test():
             b = np.append(a, rng.integers(0, 2**63, n // 4).astype(np.uint64))
             assert np.intersect1d(near_dedup.bucket_keys(a), near_dedup.bucket_keys(b)).size
     assert near_dedup.ROUGH * near_dedup.SIGNATURE <= 32
+
+
+def test_rows_without_ids_meet_their_own_text_only(spark, monkeypatch):
+    rows = [(None, f"{BASE} tail{i} {i * 7 % 50}") for i in range(300)] + [(None, f"other{i} " * 9) for i in range(200)]
+    held = {}
+    real = near_dedup.stored
+
+    def kept(frame, label):
+        held[label] = frame
+        return real(frame, label)
+
+    monkeypatch.setattr(near_dedup, "stored", kept)
+    frame = spark.createDataFrame([r[1:] for r in rows], "text string").withColumn("doc_id", F.lit(None).cast("bigint"))
+    got = near_dedup.near_classes(frame)
+    assert got.count() == 500 and got.where("kept").count() == 201
+    plan = held["shingles"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "<=>" not in plan and "mark" in plan
+
+
+def test_rows_that_can_meet_no_other_class_stay_out(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), i, int(s), int(d), int(rng.integers(1, d + 1)), int(r)) for i, (k, s, d, r) in enumerate(zip(
+        rng.integers(0, 25, 400), rng.integers(20, 200, 400), rng.integers(1, 60, 400), rng.integers(0, 40, 400)))]
+    frame = spark.createDataFrame(rows, "key bigint, node bigint, size int, differs int, shared int, root bigint")
+    got = {r["node"] for r in near_dedup._may_meet(frame, "key", 0.8).collect()}
+    part = 0.2 / 1.8
+    meets = {a[1] for a in rows for b in rows if a[0] == b[0] and a[5] != b[5] and a[3] + b[3] - 2 * min(a[4], b[4]) <= part * (a[2] + b[2]) + 1e-6}
+    assert meets <= got < {r[1] for r in rows}
