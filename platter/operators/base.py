@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.schema import Tables
+from platter.schema import KEYS, Tables
+from platter.session import collecting, remove
+from platter.sources.tables import save_tables
 
 
 @dataclass(frozen=True)
@@ -18,11 +21,38 @@ class Outcome:
     ``rejects`` holds the refused requests with a ``reason``; ``done`` lists
     one row per carried-out request where the caller needs to know more than
     the new snapshot tells (new ids, soft or hard delete).
+
+    All three are lazy, and may read intermediate tables that the job has
+    written (``scratch``). These belong to the outcome: ``save`` removes them
+    once the new snapshot is written, ``release`` at any time the caller says.
+    Whoever wants ``rejects`` or ``done`` reads them before.
     """
 
     tables: Tables
     rejects: DataFrame | None = None
     done: DataFrame | None = None
+    scratch: tuple[str, ...] = ()
+
+    def save(self, folder: str, **how: object) -> None:
+        """Write the new snapshot to a new ``folder``, then let go of the intermediate tables."""
+        save_tables(self.tables, folder, **how)
+        self.release()
+
+    def release(self) -> None:
+        """Remove the intermediate tables; the frames of this outcome cannot be read any more."""
+        remove(self.tables.users.sparkSession, self.scratch)
+
+
+def owns_scratch(operator: Callable[..., Outcome]) -> Callable[..., Outcome]:
+    """Hands the tables that a state change writes on its way over to its outcome."""
+
+    @wraps(operator)
+    def run(*args: object, **kwargs: object) -> Outcome:
+        with collecting() as paths:
+            outcome = operator(*args, **kwargs)
+        return replace(outcome, scratch=tuple(paths))
+
+    return run
 
 
 def judge(requests: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -62,9 +92,13 @@ def changed(table: DataFrame, touched: Column, **values: Column) -> DataFrame:
     )
 
 
-def next_id(table: DataFrame, key: str) -> Column:
-    """First free id of a table, as a scalar subquery."""
-    return table.agg((F.coalesce(F.max(key).cast("bigint"), F.lit(0)) + 1).alias("id")).scalar()
+def next_id(t: Tables, table: str) -> Column:
+    """First free id of a table: after its high-water mark if the snapshot knows it, else a scalar subquery over the column."""
+    known = t.high_water.get(table)
+    if known is not None:
+        return F.lit(known + 1).cast("bigint")
+    frame = getattr(t, table)
+    return frame.agg((F.coalesce(F.max(KEYS[table]).cast("bigint"), F.lit(0)) + 1).alias("id")).scalar()
 
 
 def stamp(as_of: object | None, column: str = "updated_at") -> Column:

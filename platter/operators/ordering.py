@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import line_amount, message
-from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
+from platter.operators.base import Outcome, changed, fit_to, judge, next_id, owns_scratch, refused, stamp
 from platter.operators.sequence import CHUNK_ROWS, with_position
 from platter.operators.stock import beyond_range, lines_of, return_stock
 from platter.schema import COUNT_MOST, MONEY_MOST, PAYMENT_METHODS, PENDING_NARROW, TOTAL, Tables
@@ -28,6 +28,7 @@ def _quantity_rules(stock: str) -> dict:
     }
 
 
+@owns_scratch
 def place_orders(
     t: Tables, requests: DataFrame, as_of: object | None = None, chunk_rows: int = CHUNK_ROWS
 ) -> Outcome:
@@ -64,8 +65,8 @@ def place_orders(
     numbered = with_position(accepted, "request_id", chunk_rows=chunk_rows)
     placed = derive_subtotal(numbered).withColumns(
         {
-            "order_id": F.col("position") + next_id(t.orders, "order_id"),
-            "order_item_id": F.col("position") + next_id(t.order_items, "order_item_id"),
+            "order_id": F.col("position") + next_id(t, "orders"),
+            "order_item_id": F.col("position") + next_id(t, "order_items"),
         }
     )
     now = F.lit(as_of)
@@ -119,6 +120,7 @@ def _orders_beyond(merged: DataFrame, fresh: DataFrame) -> DataFrame:
     return figures.where((F.col("quantity") > COUNT_MOST) | (F.col("amount") > most) | (F.col("total") > most)).select("order_id")
 
 
+@owns_scratch
 def add_items_to_orders(
     t: Tables,
     requests: DataFrame,
@@ -179,7 +181,7 @@ def add_items_to_orders(
         merged, F.col("_added").isNotNull(), quantity=grown, subtotal=line_amount("unit_price", grown)
     ).select(*t.order_items.columns)
     fresh = with_position(derive_subtotal(fresh), *keys, chunk_rows=chunk_rows).withColumn(
-        "order_item_id", F.col("position") + next_id(t.order_items, "order_item_id")
+        "order_item_id", F.col("position") + next_id(t, "order_items")
     )
     touched = kept.unionByName(fit_to(t.order_items, fresh))
     untouched = t.order_items.join(added.select("order_id").distinct(), "order_id", "left_anti")
@@ -188,6 +190,7 @@ def add_items_to_orders(
     return Outcome(t.with_(orders=orders, order_items=untouched.unionByName(touched)), rejects)
 
 
+@owns_scratch
 def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None) -> Outcome:
     """Delete orders with their lines, put the stock back, refund paid wallet orders.
 
@@ -239,6 +242,7 @@ def delete_orders(t: Tables, order_ids: DataFrame, as_of: object | None = None)
     return Outcome(after, rejects, done)
 
 
+@owns_scratch
 def purge_cancelled(t: Tables) -> Outcome:
     """Drop cancelled orders and their lines; stock and wallets stay as they are."""
     cancelled = F.coalesce(F.col("order_status") == "cancelled", F.lit(False))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import message, valid_email, valid_phone
-from platter.operators.base import Outcome, fit_to, judge, next_id, refused
+from platter.operators.base import Outcome, fit_to, judge, next_id, owns_scratch, refused
 from platter.operators.clashes import first_come
 from platter.operators.sequence import with_position
 from platter.schema import DEFAULTS, USER_TYPES, Tables
 from platter.session import stored
 
 
+@owns_scratch
 def delete_users(t: Tables, user_ids: DataFrame) -> Outcome:
     """Delete users without orders; the others are refused."""
     wanted = user_ids.select("user_id").distinct()
@@ -34,6 +35,7 @@ def delete_users(t: Tables, user_ids: DataFrame) -> Outcome:
     return Outcome(t.with_(users=users), rejects, done)
 
 
+@owns_scratch
 def insert_users(
     t: Tables, new: DataFrame, as_of: object | None = None, order: Sequence[str] = ("request_id",)
 ) -> Outcome:
@@ -78,7 +80,7 @@ def insert_users(
     winners, losers = first_come(placed.select("position", "_srn", "_email"), ("_srn", "_email"))
     admitted = placed.join(winners, "position", "left_semi").drop("position", "chunk")
     numbered = with_position(admitted, *order).withColumn(
-        "user_id", F.col("position") + next_id(t.users, "user_id")
+        "user_id", F.col("position") + next_id(t, "users")
     )
     rows = numbered.withColumn("created_at", F.lit(as_of)).withColumn("updated_at", F.lit(as_of))
     users = t.users.unionByName(fit_to(t.users, rows))

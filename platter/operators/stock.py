@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platter.functions.expressions import message
-from platter.operators.base import Outcome, changed, fit_to, judge, next_id, refused, stamp
+from platter.operators.base import Outcome, changed, fit_to, judge, next_id, owns_scratch, refused, stamp
 from platter.operators.sequence import with_position
 from platter.schema import COUNT_MOST, DEFAULTS, Tables
 from platter.session import stored
@@ -33,6 +33,7 @@ def lines_of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(ids.select("order_id").distinct(), "order_id", "left_semi")
 
 
+@owns_scratch
 def deduct_stock(t: Tables, order_ids: DataFrame, as_of: object | None = None) -> Outcome:
     """Take the quantities of the given orders out of stock, each order once.
 
@@ -83,6 +84,7 @@ def return_stock(menu: DataFrame, lines: DataFrame, as_of: object | None = None)
     ).select(*menu.columns)
 
 
+@owns_scratch
 def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Outcome:
     """Add to, set or reduce the stock of items: requests (item_id, mode, quantity).
 
@@ -133,6 +135,7 @@ def set_stock(t: Tables, requests: DataFrame, as_of: object | None = None) -> Ou
     return Outcome(t.with_(menu_items=menu), rejects)
 
 
+@owns_scratch
 def delete_menu_items(t: Tables, item_ids: DataFrame, as_of: object | None = None) -> Outcome:
     """Drop items that never sold; switch off and empty the ones that did.
 
@@ -162,6 +165,7 @@ def delete_menu_items(t: Tables, item_ids: DataFrame, as_of: object | None = Non
     return Outcome(t.with_(menu_items=menu), rejects, done)
 
 
+@owns_scratch
 def restore_items(t: Tables, item_ids: DataFrame, as_of: object | None = None) -> Outcome:
     """Switch items on again; without stock that does not hold, so it is refused."""
     wanted = item_ids.select("item_id").distinct().withColumn("_wanted", F.lit(True))
@@ -178,6 +182,7 @@ def restore_items(t: Tables, item_ids: DataFrame, as_of: object | None = None) -
     return Outcome(t.with_(menu_items=menu), rejected.select("item_id", "reason"))
 
 
+@owns_scratch
 def insert_menu_items(
     t: Tables, new: DataFrame, as_of: object | None = None, order: Sequence[str] = ("request_id",)
 ) -> Outcome:
@@ -204,7 +209,7 @@ def insert_menu_items(
         },
     )
     numbered = with_position(accepted.drop("_known"), *order).withColumn(
-        "item_id", F.col("position") + next_id(t.menu_items, "item_id")
+        "item_id", F.col("position") + next_id(t, "menu_items")
     )
     rows = numbered.withColumn("created_at", F.lit(as_of)).withColumn("updated_at", F.lit(as_of))
     menu = t.menu_items.unionByName(fit_to(t.menu_items, rows))

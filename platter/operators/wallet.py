@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.operators.base import Outcome, changed, judge, refused, stamp
+from platter.operators.base import Outcome, changed, judge, owns_scratch, refused, stamp
 from platter.operators.sequence import CHUNK_ROWS, crowded, look_up, running, with_position
 from platter.schema import MONEY_MOST, ORDER_STATUSES, PAYMENT_STATUSES, Tables
 from platter.session import stored
@@ -19,6 +19,7 @@ FOLD_ROWS = 500
 _MONEY = "decimal(20,2)"
 
 
+@owns_scratch
 def apply_topups(
     t: Tables, requests: DataFrame, as_of: object | None = None, limit: Decimal | None = None
 ) -> Outcome:
@@ -153,6 +154,7 @@ def settle_debits(debits: DataFrame, fold_rows: int = FOLD_ROWS, split: bool = T
         settled.append(done)
 
 
+@owns_scratch
 def apply_status_updates(
     t: Tables,
     requests: DataFrame,

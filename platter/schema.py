@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -107,6 +107,9 @@ SCHEMAS: dict[str, T.StructType] = {
     "order_items": ORDER_ITEMS,
 }
 
+# The primary key of each table.
+KEYS: dict[str, str] = {name: schema.fields[0].name for name, schema in SCHEMAS.items()}
+
 # Columns an insert fills in when the caller leaves them out.
 DEFAULTS: dict[str, dict[str, object]] = {
     "users": {"wallet_balance": 0},
@@ -125,9 +128,21 @@ class Tables:
 
     A table may be given as a function; it is called when the table is first
     used, so a report only sets up the tables it reads.
+
+    ``high_water`` holds the largest id of tables whose snapshot was saved
+    with it; a table that is replaced loses its mark.
     """
 
-    def __init__(self, users: Frame, categories: Frame, menu_items: Frame, orders: Frame, order_items: Frame) -> None:
+    def __init__(
+        self,
+        users: Frame,
+        categories: Frame,
+        menu_items: Frame,
+        orders: Frame,
+        order_items: Frame,
+        high_water: Mapping[str, int] | None = None,
+    ) -> None:
+        self.high_water = dict(high_water or {})
         self._frames: dict[str, Frame] = {
             "users": users,
             "categories": categories,
@@ -164,7 +179,8 @@ class Tables:
 
     def with_(self, **frames: Frame) -> "Tables":
         """The same snapshot with some tables replaced."""
-        return Tables(**{**self._frames, **frames})
+        marks = {name: mark for name, mark in self.high_water.items() if name not in frames}
+        return Tables(**{**self._frames, **frames}, high_water=marks)
 
     def items(self) -> list[tuple[str, DataFrame]]:
         return [(name, self._get(name)) for name in SCHEMAS]

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_collected: ContextVar[list[str] | None] = ContextVar("platter_scratch", default=None)
+
 
 def build_session(app: str = "platter", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for.
@@ -46,9 +51,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that ``fresh_path`` hands out inside the block, for whoever removes them later."""
+    paths: list[str] = []
+    before = _collected.set(paths)
+    try:
+        yield paths
+    finally:
+        _collected.reset(before)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove written tables, from whatever store they are in; a path that is gone already is no error."""
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if (paths := _collected.get()) is not None:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

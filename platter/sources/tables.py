@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platter.schema import DEFAULTS, SCHEMAS, Tables
+from platter.schema import DEFAULTS, KEYS, SCHEMAS, Tables
+
+# Beside the tables of a saved snapshot: the largest id of each.
+HIGH_WATER = "_high_water"
+_MARKS = "table_name string, high_water bigint"
 
 
 def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet", **options: str) -> Tables:
@@ -19,7 +24,24 @@ def load_tables(spark: SparkSession, folder: str, fmt: str = "parquet", **option
         name: spark.read.format(fmt).options(**options).schema(schema).load(f"{folder.rstrip('/')}/{name}")
         for name, schema in SCHEMAS.items()
     }
-    return Tables(**frames)
+    return Tables(**frames, high_water=load_high_water(spark, folder))
+
+
+def load_high_water(spark: SparkSession, folder: str) -> dict[str, int]:
+    """The largest ids that ``save_tables`` noted; nothing for a folder written by others."""
+    try:
+        rows = spark.read.schema(_MARKS).parquet(f"{folder.rstrip('/')}/{HIGH_WATER}").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {row["table_name"]: row["high_water"] for row in rows}
+
+
+def save_high_water(spark: SparkSession, folder: str, marks: dict[str, int | None]) -> None:
+    """Note the largest ids beside the tables; a row per table. An empty table starts at 0."""
+    rows = spark.createDataFrame([(name, mark or 0) for name, mark in marks.items()], _MARKS)
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{HIGH_WATER}")
 
 
 def load_tables_jdbc(spark: SparkSession, url: str, properties: dict[str, str], partitions: int) -> Tables:
@@ -59,11 +81,18 @@ def save_tables(tables: Tables, folder: str, fmt: str = "parquet", orders_by_dat
     ``orders_by_date`` gives every file of ``orders`` its own stretch of
     ``order_date``, so that a day filter skips the other files by their
     statistics.  ``order_id`` as second key keeps a busy day splittable.
+    The largest id of each table is observed as it is written and noted last, so
+    later batches need not scan a column to number their rows.
     """
+    marks = {}
     for name, frame in tables.items():
         if orders_by_date and name == "orders":
             frame = frame.repartitionByRange("order_date", "order_id").sortWithinPartitions("order_date", "order_id")
+        largest = Observation()
+        frame = frame.observe(largest, F.max(F.col(KEYS[name]).cast("bigint")).alias("id"))
         frame.write.format(fmt).mode("errorifexists").save(f"{folder.rstrip('/')}/{name}")
+        marks[name] = largest.get["id"]
+    save_high_water(tables.users.sparkSession, folder, marks)
 
 
 def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
