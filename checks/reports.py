@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from checks.binding import over_model
 from platter.functions import lookups
 from platter.functions.expressions import money_text, yes_no
-from platter.plans import customers, menu, orders, overview, revenue
-from platter.plans.views import order_summary, popular_items
+from platter.plans import customers, menu, orders, overview, revenue, sketches
+from platter.plans.views import order_summary, paid, popular_items
 from platter.schema import Tables
 
 AS_OF = date(1998, 6, 15)
@@ -46,6 +46,28 @@ def _large_orders(t: Tables) -> DataFrame:
 _LARGE = "SELECT order_id FROM m_orders WHERE total_amount >= 400000 AND payment_status = 'completed'"
 
 
+def _close(estimate: str, exact: str) -> Column:
+    """Whether an estimate keeps the bound that its sketch states."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.lit(sketches.error_bound()) * F.col(exact)
+
+
+def _sketched_sales(t: Tables) -> DataFrame:
+    """Daily sketches merged over all days, beside the exact order counts."""
+    merged = sketches.category_sales_sketched(t, sketches.daily_orders(t)).withColumnRenamed("order_count", "estimate")
+    exact = menu.sales_by_category(t).select("category_name", "order_count")
+    return merged.join(exact, "category_name").select(
+        "category_name", "order_count", "total_quantity", "total_revenue", _close("estimate", "order_count").alias("within_bound")
+    )
+
+
+def _sketched_buyers(t: Tables) -> DataFrame:
+    """The same for the users who paid, by type."""
+    merged = sketches.over_days(sketches.daily_buyers(t), "user_type", sums=("orders", "spent"))
+    buying = paid(t.orders).join(t.users.select("user_id", "user_type"), "user_id")
+    exact = buying.groupBy("user_type").agg(F.countDistinct("user_id").alias("buyers"))
+    return merged.join(exact, "user_type").select("user_type", "buyers", "orders", "spent", _close("distinct", "buyers").alias("within_bound"))
+
+
 REPORTS: dict[str, tuple[Plan, str]] = {
     "q01_table_counts": (
         overview.table_counts,
@@ -480,6 +502,32 @@ REPORTS: dict[str, tuple[Plan, str]] = {
         lambda t: overview.table_sample(t, "popular_items", 10),
         "SELECT * FROM m_popular ORDER BY item_id LIMIT 10",
     ),
+    "q45_menu_sample": (
+        lambda t: overview.table_sample(t, "menu", 5),
+        """
+        SELECT m.item_name, c.category_name, m.price, m.is_available
+        FROM m_menu m JOIN m_categories c ON m.category_id = c.category_id ORDER BY m.item_id LIMIT 5
+        """,
+    ),
+    "a5_sketched_category_sales": (
+        _sketched_sales,
+        """
+        SELECT c.category_name, COUNT(DISTINCT l.order_id) AS order_count, CAST(SUM(l.quantity) AS BIGINT) AS total_quantity,
+               CAST(SUM(l.subtotal) AS DECIMAL(20,2)) AS total_revenue, TRUE AS within_bound
+        FROM m_lines l JOIN m_menu m ON l.item_id = m.item_id JOIN m_categories c ON m.category_id = c.category_id
+             JOIN m_orders o ON o.order_id = l.order_id
+        GROUP BY c.category_id, c.category_name
+        """,
+    ),
+    "a5_sketched_buyers": (
+        _sketched_buyers,
+        """
+        SELECT u.user_type, COUNT(DISTINCT o.user_id) AS buyers, COUNT(*) AS orders,
+               CAST(SUM(o.total_amount) AS DECIMAL(20,2)) AS spent, TRUE AS within_bound
+        FROM m_orders o JOIN m_users u ON o.user_id = u.user_id
+        WHERE o.payment_status = 'completed' GROUP BY u.user_type
+        """,
+    ),
     "src3_order_summary": (order_summary, f"SELECT {_ROW} FROM m_summary"),
     "src4_popular_items": (popular_items, "SELECT * FROM m_popular"),
     "fn1_wallet_balances": (

@@ -19,6 +19,7 @@ from platter.plans.views import (
     summarised,
     top,
     top_joined,
+    with_category,
 )
 from platter.schema import LOW_STOCK, PENDING_NARROW, PENDING_WIDE, TOTAL, Tables
 
@@ -131,10 +132,13 @@ def recent_paid_revenue(t: Tables) -> DataFrame:
 
 
 def table_sample(t: Tables, table: str, k: int = 5) -> DataFrame:
-    """The first ``k`` rows of a table or view by its key."""
+    """The first ``k`` rows of a table or view by its key; ``menu`` is the menu with its categories."""
     if table == "order_summary":
         return top_joined(t.orders, [F.col("order_id")], k, lambda o: summarised(o, t.users))
     if table == "popular_items":
         return top(popular_items(t), k, F.col("item_id"))
+    if table == "menu":
+        listed = top(with_category(t.menu_items, t.categories), k, F.col("item_id"))
+        return listed.select("item_name", "category_name", "price", "is_available")
     frame = getattr(t, table)
     return top(frame, k, F.col(frame.columns[0]))

@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+def export_csv(df: DataFrame, path: str, single_file: int | None = None) -> None:
     """Write a report as CSV with a header line.
 
-    Every task writes its own part.  ``single_file`` is for reports that are
-    already cut to a handful of rows.
+    Every task writes its own part. ``single_file`` is for short reports: the most
+    rows that may go into one file. A longer report is refused before anything is written.
     """
-    out = df.coalesce(1) if single_file else df
+    out = df
+    if single_file is not None:
+        rows = df.limit(single_file + 1).toArrow()
+        if rows.num_rows > single_file:
+            raise ValueError(f"more than {single_file} rows: export them without single_file")
+        out = df.sparkSession.createDataFrame(rows, df.schema).coalesce(1)
     out.write.mode("errorifexists").option("header", True).csv(path)
 
 

@@ -66,7 +66,9 @@ def test_describe_and_defaults(spark, seed):
 
 def test_csv_export(spark, seed, tmp_path):
     path = str(tmp_path / "popular")
-    sinks.export_csv(menu.best_sellers(seed, 3), path, single_file=True)
+    sinks.export_csv(menu.best_sellers(seed, 3), path, single_file=3)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        sinks.export_csv(menu.best_sellers(seed, 3), path + "-long", single_file=2)
     back = spark.read.option("header", True).csv(path)
     assert back.columns[0] == "item_id" and back.count() == 3
     sinks.export_csv(orders.all_orders(seed), str(tmp_path / "orders"))
