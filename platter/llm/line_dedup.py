@@ -59,6 +59,13 @@ def html_lines(html: Column) -> Column:
     return F.filter(lines, lambda x: x != "")
 
 
+def parsed_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", lines: str = "lines") -> DataFrame:
+    """``pages`` with ``host`` and their visible ``lines`` in place of URL and HTML, written: each page is parsed once, however often its lines are read."""
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in (url_col, html_col)]
+    parsed = pages.select(*rest, host_of(F.col(url_col)).alias("host"), html_lines(F.col(html_col)).alias(lines))
+    return stored(parsed, "parsed-pages")
+
+
 def text_lines(text: Column) -> Column:
     """Lines of a plain text; a null text has none."""
     return F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))

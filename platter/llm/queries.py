@@ -37,8 +37,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", line_dedup.host_of(F.col("url")).alias("host"), "html")
-    out = line_dedup.drop_boilerplate(pages, F.col("host"), line_dedup.html_lines(F.col("html")))
+    pages = line_dedup.parsed_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = line_dedup.drop_boilerplate(pages, F.col("host"), F.col("lines"))
     return out.select(
         "page_id",
         "host",
