@@ -4,9 +4,12 @@ Each document gets its measurements and one long, ``failure_bits``, in which bit
 says that rule i failed. A policy is a named, versioned set of rules; to apply one,
 to change one or to ask what a rule costs, only the ledger is read, never the text.
 
+A text has too few distinct words if they are under a tenth of its words, or under 200 from 2,000 words on: what a
+text adds in new words gets less the longer it is, and no length brings a sudden pardon.
+
 Defined results: a null or blank text has no words, so every measurement is 0 and
 only ``few_words`` fails. Repeated rows and repeated ids each get their own row.
-An empty table gives an empty ledger. Of the input only the id and the text are read,
+An empty table gives an empty ledger. Very long texts are read whole. Of the input only the id and the text are read,
 so other columns may have any name.
 """
 
@@ -43,7 +46,7 @@ def _rules(m) -> tuple[tuple[str, Column], ...]:
         ("marks", 100 * m("n_marks") > 50 * m("n_words")),
         ("repeated_lines", (m("n_dup_lines") > 3) & (100 * m("n_dup_lines") > 50 * m("n_lines"))),
         ("long_words", m("word_chars") > 30 * m("n_words")),
-        ("few_distinct_words", (m("n_words") >= 20) & (100 * m("n_distinct_words") < 10 * m("n_words")) & (m("n_words") < 2000)),
+        ("few_distinct_words", (m("n_words") >= 20) & (100 * m("n_distinct_words") < F.least(10 * m("n_words"), F.lit(20_000)))),
     )
 
 

@@ -162,7 +162,7 @@ WITH d AS (
     + (CASE WHEN 100 * n_marks > 50 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN n_dup_lines > 3 AND 100 * n_dup_lines > 50 * n_lines THEN 32 ELSE 0 END)
     + (CASE WHEN word_chars > 30 * n_words THEN 64 ELSE 0 END)
-    + (CASE WHEN n_words >= 20 AND n_words < 2000 AND 100 * n_distinct < 10 * n_words THEN 128 ELSE 0 END) AS bits
+    + (CASE WHEN n_words >= 20 AND 100 * n_distinct < least(10 * n_words, 20000) THEN 128 ELSE 0 END) AS bits
   FROM m
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
