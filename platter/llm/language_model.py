@@ -16,15 +16,17 @@ Scoring. Workers map the arrays and look a batch's distinct pairs up by binary s
     P(w) = max(n(w) - D'(n), 0) / pairs + share / (V + 1)
 
 n(w) is the number of different words before w, D and D' the three discounts that the counts
-of counts give. An unknown word has the last term alone; after an unknown word P(w) counts.
+of counts give, each ``LEAST_DISCOUNT`` at least, so every score is finite, also where all training
+rows are copies. An unknown word has the last term alone; after an unknown word P(w) counts.
 
 Tokens are words in lower-case A-Z and one end per text, which also counts as a token; a text
 starts after a begin mark that is never predicted.
 
 Defined results: null and empty texts consist of the end; rows whose ``learn_from`` is null
 are not learned from; with nothing to learn from every token has probability 1 / (V + 1) = 1.
-A row per row, repeated ones too; an empty table gives an empty result. Other columns are not
-read. Two words share an id if their 64-bit hashes are equal.
+A row per row, repeated ones too; an empty table gives an empty result. Very long texts are
+read whole. Other columns are not read. A pair seen 2^32 times or more, or over 3 billion different words, are
+refused with an error. Two words share an id if their 64-bit hashes are equal.
 """
 
 from __future__ import annotations
@@ -49,6 +51,9 @@ from platter.session import fresh_path, stored
 #: No word, as it is white space.
 END = "\n"
 
+#: A discount of 0 would leave unseen words after some words without any probability; copied texts give such counts.
+LEAST_DISCOUNT = 0.1
+
 TOKENS_AT_ONCE = 1_500_000
 SHARD_TOKENS = 2_000_000
 SHARD_WORDS = 2_000_000
@@ -80,7 +85,7 @@ def discounts(counts: list[int]) -> np.ndarray:
         d[2] = 2 - 3 * y * n3 / n2
         if n3:
             d[3] = 3 - 4 * y * n4 / n3
-    return np.clip(d, 0.0, [0.0, 1.0, 2.0, 3.0])
+    return np.clip(d, [0.0, *[LEAST_DISCOUNT] * 3], [0.0, 1.0, 2.0, 3.0])
 
 
 def _lower_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -272,6 +277,8 @@ def train(rows: DataFrame) -> Model:
         return Model(vocabulary, 0, 0, [], [], [0] * 5, [0] * 5, 0)
     bits = max(0, int(np.ceil(np.log2(n_tokens / SHARD_TOKENS)))) if n_tokens > SHARD_TOKENS else 0
     wide = n_words + 1
+    if wide * wide >= 1 << 63:
+        raise ValueError(f"{n_words} different words: a pair of them does not fit 63 bits")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -307,7 +314,9 @@ def train(rows: DataFrame) -> Model:
         pairs, n = pairs[order], n[order]
         first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
         pairs, n = pairs[first], np.add.reduceat(n, first)
-        path = write_arrays(folder, "pairs", [pairs, np.minimum(n, 0xFFFFFFFF).astype("<u4")])
+        if n.max() > 0xFFFFFFFF:
+            raise ValueError("a pair of words occurs 2^32 times or more")
+        path = write_arrays(folder, "pairs", [pairs, n.astype("<u4")])
         shard = group.column("shard")[0].as_py()
         parts, out = [-1], [json.dumps([shard, path, len(pairs), *_occurrences(n)]).encode()]
         key = unmix64(pairs)
