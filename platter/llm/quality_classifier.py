@@ -133,7 +133,9 @@ def train(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, s
     """A forest from the ledger rows of labelled documents; ``labels`` holds only rows that may be learned from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id"))
     known = bounded_sample(known.agg(F.max(F.col(label_col)).cast("double").alias("y")), "label_id", sample_rows)
-    rows = known.join(measured, F.col("label_id") == F.col(id_col)).select("y", *MEASURES).orderBy("y", *MEASURES).toArrow()
+    # One row for each sampled id, however many documents share it, so that what is collected keeps the bound.
+    single = known.join(measured, F.col("label_id") == F.col(id_col)).groupBy("label_id", "y").agg(F.min(F.struct(*MEASURES)).alias("least"))
+    rows = single.select("y", "least.*").orderBy("y", *MEASURES).toArrow()
     table = np.stack([rows.column(c).to_numpy() for c in ("y", *MEASURES)], axis=1).astype(float)
     return grow(statistics(table[:, 1:]), table[:, 0])
 
