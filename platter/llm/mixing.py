@@ -5,8 +5,9 @@ name fall under ``*``, so the cells are at most the product of the named values
 each: a bound set by the caller's targets, whatever the data. Iterative proportional
 fitting scales the cells to one margin after the other until all hold; the quotient of
 fitted and observed tokens is the weight of a cell's documents. A margin that has no target for
-``*`` keeps the observed share of its unnamed values, and the named targets share out what is left. Weights stay under ``MAX_WEIGHT``:
-a rare cell gives what it has, and the raking goes on over the others. A document is drawn with
+``*`` keeps the observed share of its unnamed values, and the named targets share out what is left. The fit is exact: the
+weighted tokens meet every margin. With ``max_weight`` a rare cell gives at most that many times what it has, and the
+margins are met as far as that allows; ``margin_report`` says how far. A document is drawn with
 probability weight / largest weight, by a hash of its id, so the draw repeats anywhere.
 
 Defined results: null source, language or topic count as ``*``; a null text has no tokens
@@ -21,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platter.llm.common import free_name, whole_text, words_of
@@ -29,7 +30,6 @@ from platter.llm.common import free_name, whole_text, words_of
 REST = "*"
 MAX_ROUNDS = 200
 TOLERANCE = 1e-9
-MAX_WEIGHT = 3.0
 
 #: Topics by the first pattern that the text has; the rest is general prose.
 TOPICS = (
@@ -53,8 +53,8 @@ def topic_of(text: Column) -> Column:
     return topic
 
 
-def rake(observed: np.ndarray, margins: list[np.ndarray], max_weight: float = MAX_WEIGHT) -> np.ndarray:
-    """``observed`` scaled, ``max_weight`` times at most, so that its sums along each axis are in the proportions of ``margins``.
+def rake(observed: np.ndarray, margins: list[np.ndarray], max_weight: float | None = None) -> np.ndarray:
+    """``observed`` scaled, ``max_weight`` times at most if given, so that its sums along each axis are in the proportions of ``margins``.
 
     A margin that gives nothing to any value with tokens is replaced by the observed one.
     """
@@ -77,7 +77,8 @@ def rake(observed: np.ndarray, margins: list[np.ndarray], max_weight: float = MA
             worst = max(worst, float(np.abs(now - goal).max()) / total)
             factor = np.divide(goal, now, out=np.zeros_like(now), where=now > 0)
             fitted *= np.expand_dims(factor, others)
-        fitted = np.minimum(fitted, max_weight * observed)
+        if max_weight is not None:
+            fitted = np.minimum(fitted, max_weight * observed)
         if worst < TOLERANCE:
             break
     return fitted
@@ -107,6 +108,7 @@ def mixture(
     id_col: str = "doc_id",
     text_col: str = "text",
     seed: int = 1,
+    max_weight: float | None = None,
 ) -> tuple[DataFrame, str, Column, Column, Column]:
     """``docs`` with a struct of cell and token count, its name, and weight, probability and draw of a row.
 
@@ -133,7 +135,7 @@ def mixture(
         observed[tuple(n.index(row[a]) for n, a in zip(names, axes))] = row["tokens"]
     sums_of = [observed.sum(axis=tuple(x for x in range(len(axes)) if x != i)) for i in range(len(axes))]
     margins = [margin_of(targets[a], n, t) for n, a, t in zip(names, axes, sums_of)]
-    fitted = rake(observed, margins)
+    fitted = rake(observed, margins, max_weight)
     weights = np.divide(fitted, observed, out=np.ones_like(fitted), where=observed > 0)
     top = weights[observed > 0].max() if (observed > 0).any() else 1.0
     entries = []
@@ -165,3 +167,18 @@ def mixing_report(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] |
         probability.alias("probability"),
         drawn.alias("sampled"),
     )
+
+
+def margin_report(report: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+    """Per margin and value of a ``mixing_report``: ``target`` (null where the observed share is kept), shares of tokens ``observed``, ``reached`` by weight and ``drawn``."""
+    targets = targets or TARGETS
+    axes = ("source", "lang", "topic")
+    kept = report.withColumn("_drawn", F.when(F.col("sampled"), F.col("n_tokens")).otherwise(0)).withColumn("_weighted", F.col("weight") * F.col("n_tokens"))
+    cells = kept.groupBy(*axes).agg(*[F.sum(c).cast("double").alias(c) for c in ("n_tokens", "_weighted", "_drawn")])
+    each = cells.select(F.inline(F.array(*[F.struct(F.lit(a).alias("margin"), F.col(a).alias("value"), "n_tokens", "_weighted", "_drawn") for a in axes])))
+    sums = each.groupBy("margin", "value").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "_weighted", "_drawn")])
+    of_margin = Window.partitionBy("margin")
+    share = [(F.col(c) / F.nullif(F.sum(c).over(of_margin), F.lit(0.0))).alias(n) for c, n in (("n_tokens", "observed"), ("_weighted", "reached"), ("_drawn", "drawn"))]
+    named = [(a, v, float(t)) for a, values in targets.items() for v, t in values.items()]
+    wanted = report.sparkSession.createDataFrame(named, "margin string, value string, target double")
+    return sums.select("margin", "value", *share).join(wanted, ["margin", "value"], "left").select("margin", "value", "target", "observed", "reached", "drawn")
