@@ -57,9 +57,18 @@ TEMPLATES = (
     ("BSD-2-Clause", "permissive", "bsd 2", "Released under the BSD 2-Clause License."),
     ("BSD", "permissive", "redistribution source binary forms", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "permissive", "isc", "Released under the ISC License."),
+    ("ISC", "permissive", "permission use copy modify distribute fee granted notice appear", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0", "copyleft", "gnu general public 3", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "copyleft", "gnu general public 2", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-or-later", "copyleft", "gnu general public 3 later", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "copyleft", "gnu general public 2 later", "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "copyleft", "2 gnu general public", "it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation."),
+    ("LGPL-2.1", "copyleft", "gnu lesser general public 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", "copyleft", "gnu lesser general public 2.1 later", "modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "copyleft", "gnu lesser general public 3 later", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "copyleft", "gnu affero general public 3 later", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSL-1.0", "permissive", "boost software 1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "copyleft", "eclipse public 2.0", "made available under the terms of the Eclipse Public License 2.0"),
     ("LGPL-3.0", "copyleft", "gnu lesser general public 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "copyleft", "gnu affero general public 3", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "copyleft", "mozilla 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -99,7 +108,7 @@ _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _BETWEEN = " \t\r\n*#/-="
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Words that make another license of the same family.
-_TELLING = frozenset("lesser affero sa nc nd sharealike noncommercial noderivatives noderivs".split())
+_TELLING = frozenset("lesser affero later sa nc nd sharealike noncommercial noderivatives noderivs".split())
 
 
 def tokens_of(text: str) -> list[str]:
