@@ -9,8 +9,8 @@ copies don't pass. A word beginning stands for its words if many of them are tox
 
 Matching. The terms form a trie; a word is read by the Levenshtein automata of all terms at
 once, as sets of (trie node, errors so far) that are made when first met and kept. Terms of
-``FUZZY_CHARS`` letters or more may have one wrong, missing, added or swapped letter after
-their first, unless clean documents have words that close to them; word beginnings none.
+``FUZZY_CHARS`` letters or more may have one wrong, missing, added or swapped letter, the first
+one too, unless clean documents have words that close to them; word beginnings none.
 
 Scoring. Each hit counts its log odds, a misspelt one less, and less again in a window that
 speaks about words: quotation marks on both sides, or words such as "said" or "quoted" close
@@ -19,7 +19,8 @@ by. The score is 1 - exp(-sum / SCALE).
 Defined results: null and empty texts score 0; without labels of both kinds the lexicon is
 empty and every score is 0; of several labels of an id the highest counts, null labels and
 ids are left out; a row per row, repeated ones too; an empty table gives an empty result.
-Columns other than id and text are not read.
+Very long texts are read whole. Columns other than id and text are not read. The lexicon is all that passes; its size is
+bounded by the words of the sampled documents, each term being in ``LEAST_SUPPORT`` surroundings of them.
 """
 
 from __future__ import annotations
@@ -41,10 +42,9 @@ SAMPLE_ROWS = 30_000
 LEAST_ODDS = 4.5
 CLEAN_SHARE = 0.02
 LEAST_SUPPORT = 6
-LEXICON_TERMS = 4_000
 STEM_CHARS = (4, 5, 6)
 STEM_WORDS = 3
-FUZZY_CHARS = 5
+FUZZY_CHARS = 4
 FUZZY_FACTOR = 0.5
 QUOTED_FACTOR = 0.35
 WINDOW = 6
@@ -112,7 +112,7 @@ class Automaton:
                 out.add((nexts[ch], errors, ""))
                 if not errors:
                     passed = max(passed, self.stem[nexts[ch]])
-            if errors or not node:
+            if errors:
                 continue
             out.add((node, 1, ""))  # a letter too many
             for other, to in nexts.items():
@@ -262,7 +262,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * F.lit((n_clean + 1.0) / (n_toxic + 1.0)))
     good = totals.where((F.col("term") != "") & (F.col("places") >= LEAST_SUPPORT) & (F.col("clean") <= CLEAN_SHARE * F.col("toxic"))).withColumn("odds", odds)
     good = good.where((F.col("odds") >= LEAST_ODDS) & (~F.col("stem") | (F.col("words") >= STEM_WORDS)))
-    best = good.orderBy(F.desc("places"), "term", "stem").limit(LEXICON_TERMS).collect()  # the lexicon's bound
+    best = good.orderBy(F.desc("places"), "term", "stem").collect()  # each has LEAST_SUPPORT places in the sampled documents
     stems: dict[str, float] = {}
     for r in sorted((r for r in best if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
         if not any(r["term"][:k] in stems for k in STEM_CHARS):
