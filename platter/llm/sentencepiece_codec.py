@@ -3,47 +3,61 @@
 The library turns every blank into a marker and puts one in front of a text. If no piece
 of the vocabulary has a marker after another character, no merge crosses the place where
 a marker follows something else; nor does any merge touch a character that no piece has,
-such as the line feed. A text is cut there, each distinct chunk is segmented once by the
-library and kept in a table, and the ids of a text are those of its chunks by position.
-The table belongs to a task and is emptied at ``TABLE_CHUNKS``: a bound on memory, which
-changes no result. The cut is checked against the vocabulary when a model is loaded; a
+such as the line feed. A text is cut there into chunks, marked words for the most part.
+
+The chunk table is made once for all texts. Tasks collect the distinct chunks of their texts, a
+shuffle brings these down to one row each (never a row per word of a text), and each is segmented
+once by the library. The table is kept as sorted arrays in the shared folder, by hash range: 128-bit
+hashes of the chunks, where their ids begin, and the ids. Workers map the arrays into memory, look a
+batch's distinct chunks up by binary search, and join their ids back by position in the text.
+
+Whether a model can be cut so is read off its vocabulary when it is loaded; a
 model that allows pieces across markers, or normalises its input, is run on whole texts.
 
-A plain map over the rows: no shuffle, nothing but the model file is shared. A table of
-the whole corpus, joined back by position, would shuffle every word of every text.
+Bounds: a task holds ``PART_BYTES`` of distinct chunks before it passes them on, and the
+chunks that a worker looked up last up to ``HELD_BYTES``; neither changes a result. A shard
+of the table has about ``SHARD_CHUNKS`` chunks, the driver sees one row per shard.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a row per
-row, repeated ones too; other columns of the input are not read. Ids are plain positions,
-with no begin, end or sampling.
+row, repeated ones too; an empty table gives an empty result; very long texts, and chunks
+without any blank, are encoded whole; other columns of the input are not read. Ids are plain positions,
+with no begin, end or sampling. Two chunks share their ids if their 128-bit hashes are equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platter.llm.arrays import map_arrays, write_arrays
 from platter.llm.common import whole_text
+from platter.session import fresh_path, stored
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
+PART_BYTES = 32 << 20
+HELD_BYTES = 64 << 20
+SHARD_CHUNKS = 1_000_000
+TEXTS_AT_ONCE = 256
 
+_TABLE = ("<u8", "<u8", "<i8")
 _codecs: dict[str, Codec] = {}
 
 
 class Codec:
-    """One model in one worker, with its table of chunks."""
+    """One model in one worker: how texts are cut, and what the library makes of a chunk."""
 
-    def __init__(self, path: str, table_chunks: int = TABLE_CHUNKS):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table_chunks = table_chunks
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
         known = set(chain.from_iterable(plain))
@@ -55,39 +69,22 @@ class Codec:
             and self.model.decode(self.model.encode(probe)) == probe
             and self._lead("\n") == 1
         )
-        self.chunks = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
-        self.table: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 
     def _lead(self, text: str) -> int:
         """Ids before those of the line feeds that ``text`` is made of."""
         return len(self.model.encode(text)) - len(text.encode())
 
-    def _segment(self, chunk: str) -> tuple[tuple[int, ...], str]:
+    def chunks(self, text: str) -> list[str]:
+        return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def segment(self, chunk: str) -> list[int]:
+        """The ids of a chunk inside a text."""
         if chunk[0] == MARK:
-            ids = self.model.encode(chunk[1:]) if len(chunk) > 1 else self.model.encode("\n")[:1]
-        elif chunk[0] == "\n":
-            ids = self.model.encode(chunk)[1:]
-        else:
-            ids = self.model.encode("\n" + chunk)[2:]
-        return tuple(ids), ",".join(map(str, ids))
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids of a text, and their decimals joined by commas."""
-        if not text:
-            return [], ""
-        if not self.cut:
-            ids = self.model.encode(text)
-            return ids, ",".join(map(str, ids))
-        table = self.table
-        found = self.chunks.findall(MARK + text.replace(" ", MARK))
-        new = [c for c in set(found) if c not in table]
-        if len(table) + len(new) > self.table_chunks:
-            table.clear()
-            new = set(found)
-        for c in new:
-            table[c] = self._segment(c)
-        parts = [table[c] for c in found]
-        return list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+            return self.model.encode(chunk[1:]) if len(chunk) > 1 else self.model.encode("\n")[:1]
+        if chunk[0] == "\n":
+            return self.model.encode(chunk)[1:]
+        return self.model.encode("\n" + chunk)[2:]
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
@@ -100,6 +97,108 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _hashes(chunks: Iterable[str]) -> np.ndarray:
+    """128-bit hashes, as rows of two numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in chunks), ">u8").astype("<u8").reshape(-1, 2)
+
+
+class ChunkTable:
+    """The distinct chunks of a corpus with their ids, mapped from the shared folder when first needed."""
+
+    def __init__(self, shards: list[tuple[str, int, str, int]]):
+        #: By shard: file and number of the chunks, file and number of their ids.
+        self.shards = shards
+        self._reset()
+
+    def __getstate__(self):
+        return {"shards": self.shards}
+
+    def __setstate__(self, state):
+        self.__init__(state["shards"])
+
+    def _reset(self) -> None:
+        self.open: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
+        self.held: dict[str, tuple[list[int], str]] = {}
+        self.size = 0
+
+    def _shard(self, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+        if k not in self.open:
+            chunks, n, ids, n_ids = self.shards[k]
+            self.open[k] = (map_arrays(chunks, n, _TABLE), map_arrays(ids, n_ids, ("<i4",))[0])
+        return self.open[k]
+
+    def _look_up(self, chunks: list[str]) -> Iterator[list[int]]:
+        hashes = _hashes(chunks)
+        bits = len(self.shards).bit_length() - 1
+        shard = (hashes[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(chunks), np.int64)
+        found: list[list[int]] = [[]] * len(chunks)
+        for k in np.unique(shard).tolist():
+            rows = np.flatnonzero(shard == k)
+            (high, low, ends), ids = self._shard(k)
+            at = np.searchsorted(high, hashes[rows, 0])
+            for row, place in zip(rows.tolist(), at.tolist()):
+                while low[place] != hashes[row, 1]:  # equal first halves are next to each other
+                    place += 1
+                found[row] = ids[ends[place - 1] if place else 0 : ends[place]].tolist()
+        yield from found
+
+    def ids_of(self, texts: list[list[str]]) -> dict[str, tuple[list[int], str]]:
+        """The ids, and their decimals joined by commas, of all chunks of some texts."""
+        if self.size > HELD_BYTES:
+            self.held, self.size = {}, 0
+        new = list({c for chunks in texts for c in chunks if c not in self.held})
+        for chunk, ids in zip(new, self._look_up(new) if new else ()):
+            self.held[chunk] = (ids, ",".join(map(str, ids)))
+            self.size += 200 + len(chunk) + 50 * len(ids)
+        return self.held
+
+
+def chunk_table(rows: DataFrame, model_path: str) -> ChunkTable:
+    """The table of the distinct chunks of ``rows`` (id, body): each is segmented once."""
+    folder = fresh_path(rows.sparkSession, "chunks")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool, distinct, size = codec(model_path), set(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                new = set(tool.chunks(text)) - distinct
+                distinct |= new
+                size += sum(map(len, new)) + 60 * len(new)
+                if size > PART_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.string())], names=["chunk"])
+                    distinct, size = set(), 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(distinct), pa.string())], names=["chunk"])
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(model_path)
+        for batch in batches:
+            chunks = batch.column(0).to_pylist()
+            halves = _hashes(chunks)
+            ids = [np.array(tool.segment(c), "<i4").tobytes() for c in chunks]
+            columns = [pa.array(halves[:, 0].view(np.int64)), pa.array(halves[:, 1].view(np.int64)), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "ids"])
+
+    distinct = rows.select("body").mapInArrow(collect, "chunk string").distinct()
+    known = stored(distinct.mapInArrow(segment, "high bigint, low bigint, ids binary"), "segmented")
+    n_chunks = known.count()
+    bits = max(0, int(np.ceil(np.log2(max(1, n_chunks / SHARD_CHUNKS)))))
+    shard = F.shiftrightunsigned("high", 64 - bits).cast("int") if bits else F.lit(0)
+
+    def write(group: pa.Table) -> pa.Table:
+        high, low = (group.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+        order = np.lexsort((low, high))
+        ids = [np.frombuffer(x, "<i4") for x in group.column("ids").take(pa.array(order)).to_pylist()]
+        ends = np.cumsum([len(x) for x in ids])
+        chunks = write_arrays(folder, "chunks", [high[order], low[order], ends.astype("<i8")])
+        flat = write_arrays(folder, "ids", [np.concatenate(ids)])
+        said = {"shard": group.column("shard")[:1], "chunks": [chunks], "n": [len(high)], "ids": [flat], "n_ids": [int(ends[-1])]}
+        return pa.table(said, schema=pa.schema([("shard", pa.int32()), ("chunks", pa.string()), ("n", pa.int64()), ("ids", pa.string()), ("n_ids", pa.int64())]))
+
+    by_shard = known.withColumn("shard", shard).groupBy("shard").applyInArrow(write, "shard int, chunks string, n bigint, ids string, n_ids bigint")
+    files = {f["shard"]: (f["chunks"], f["n"], f["ids"], f["n_ids"]) for f in by_shard.collect()}
+    return ChunkTable([files.get(k, ("", 0, "", 0)) for k in range(1 << bits)])
+
+
 def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -111,13 +210,26 @@ def encode_decode(
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("body"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = "id " + id_type + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
+    table = chunk_table(rows, model_path) if codec(model_path).cut else None
+
+    def encoded(tool: Codec, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        if table is None:
+            for text in texts:
+                found = tool.model.encode(text)
+                yield found, ",".join(map(str, found))
+            return
+        cut = [tool.chunks(t) for t in texts]
+        known = table.ids_of(cut)
+        for chunks in cut:
+            parts = [known[c] for c in chunks]
+            yield list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = [tool.encode(t) for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                coded = list(encoded(tool, part.column(1).to_pylist()))
                 out = [part.column(0), pa.array([len(c[0]) for c in coded], pa.int64())]
                 if ids:
                     out.append(pa.array([c[0] for c in coded], pa.list_(pa.int32())))
