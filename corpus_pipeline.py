@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platter.llm import line_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
+from platter.llm.common import free_name
 from platter.llm.queries import model_path
 from platter.session import stored
 
@@ -26,9 +27,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies of a document count once, and one document keeps each line: the near-duplicate stage comes later.
     """
     lines = line_dedup.text_lines(F.col("text"))
-    cut = line_dedup.drop_boilerplate(docs, F.col("source"), lines, "_kept_lines", "_all_lines", once=True)
-    text = F.when(F.size("_kept_lines") == F.col("_all_lines"), F.col("text")).otherwise(F.array_join("_kept_lines", "\n"))
-    size = F.when(F.size("_kept_lines") == F.col("_all_lines"), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    kept, before = free_name(docs, "_kept_lines"), free_name(docs, "_all_lines")
+    cut = line_dedup.drop_boilerplate(docs, F.col("source"), lines, kept, before, once=True)
+    whole = F.size(kept) == F.col(before)
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    size = F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return cut.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
 
 
