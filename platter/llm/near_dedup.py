@@ -22,7 +22,8 @@ compared. Buckets of up to ``FEW`` members are compared in full. In larger bucke
 several classes only pairs can be similar that differ from the anchor in the same shingles: with
 D(x) the shingles that only one of x and the anchor has, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|
 shingles, and two texts that are not both similar to the anchor need a part of D in common. So the members
-meet again by the rarest elements of D, and only if each shares enough of them with other classes. That is
+meet again by the rarest elements of D, and only if each shares enough of them with other classes. Which elements several classes have, and how many rows, is
+counted in packed blocks and kept in sorted arrays that workers map; an element that one class alone has never becomes a row. That is
 exact but for texts with the anchor's shingles in another order, which only meet anchors. Under each element they meet ``ANCHORS`` anchors, then 8 times as many, until it holds one class or
 all its members have been anchors. Edits made once, and whatever stands around one frequent
 passage, bring no texts together, and no pair that could still join two classes is left out.
@@ -50,10 +51,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platter.llm.arrays import mix64
+from platter.llm.arrays import map_arrays, mix64, pack, unpack, write_arrays
 from platter.llm.common import WORD, free_name, whole_text
 from platter.llm.components import merge
-from platter.session import stored
+from platter.session import fresh_path, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -64,6 +65,8 @@ ROUGH = 0.5
 ANCHORS = 4
 FEW = 8
 SHORT = 12
+ELEMENTS_AT_ONCE = 1 << 20
+SHARD_ELEMENTS = 1 << 17
 
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix64(_SEEDS) | np.uint64(1)
@@ -308,22 +311,125 @@ def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFram
     both = crowd.join(texts, "node").join(of_anchor, "anchor").select("node", "anchor", "root", "shingles", "base")
     apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, base int, apart array<bigint>")
     apart = stored(apart.withColumn("differs", F.size("apart")).withColumn("shared", F.size("apart")), "apart")
-    each = _may_meet(apart, "anchor", similar).select("node", "anchor", "root", "size", "base", "differs", F.explode("apart").alias("e"))
-    each = each.withColumn("key", F.xxhash64("anchor", "e"))
-    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-    often = often.where("low <> high").select("key", "members")
-    met = each.join(often, "key").groupBy("node", "anchor", "size", "base", "differs")
-    met = met.agg(F.sort_array(F.collect_list(F.struct("members", "key"))).alias("met"))
-    #: The part of D that a similar text of another class has at least. A text near its anchor can only meet one that is not.
-    apart_most = (1 - similar) / (1 + similar)
-    close = F.col("differs") <= apart_most * (F.col("size") + F.col("base"))
-    least = F.when(close, F.col("differs") + (F.col("base") - F.col("size")) * apart_most).otherwise(
-        F.col("differs") + 1 - (1 - similar) / similar * F.col("size")
-    )
-    least = F.greatest(F.lit(1), F.ceil(least / 2 - 1e-6)).cast("int")
-    #: Rare ones first, two texts with that much in common share one of the first of each.
-    first = F.slice("met", 1, F.greatest(F.size("met") - least + 1, F.lit(0)))
-    return met.select("node", "size", "differs", F.size("met").alias("shared"), F.inline(first)).select("key", "node", "size", "differs", "shared", "members")
+    apart = stored(_may_meet(apart, "anchor", similar).select("node", "anchor", "root", "size", "base", "apart"), "apart")
+    table = _mixed_elements(apart)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "node", "size", "differs", "shared", "members"]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                node, size, base = (part.column(c).to_numpy() for c in ("node", "size", "base"))
+                sets = part.column("apart")
+                differs = sets.value_lengths().to_numpy().astype(np.int64)
+                row, keys = _element_keys(part)
+                members = table.find(keys)
+                row, keys, members = row[members > 0], keys[members > 0], members[members > 0]
+                shared = np.bincount(row, minlength=len(node))
+                order = np.lexsort((keys, members, row))
+                rank = np.arange(len(row)) - np.repeat(np.cumsum(shared) - shared, shared)
+                #: Rare ones first, two texts with ``least`` in common share one of the first of each.
+                kept = rank < np.maximum(shared - _least_shared(size, base, differs, similar) + 1, 0)[row]
+                row, keys, members = row[order][kept], keys[order][kept], members[order][kept]
+                columns = [keys.view(np.int64), node[row], size[row], differs[row].astype(np.int32), shared[row].astype(np.int32), members]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return apart.mapInArrow(rarest, "key bigint, node bigint, size int, differs int, shared int, members bigint")
+
+
+def _least_shared(size: np.ndarray, base: np.ndarray, differs: np.ndarray, similar: float) -> np.ndarray:
+    """The part of its differences that a text has in common with a similar text of another class at least.
+
+    A text near its anchor can only meet one that is not.
+    """
+    most = (1 - similar) / (1 + similar)
+    close = differs <= most * (size + base)
+    least = np.where(close, differs + (base - size.astype(np.int64)) * most, differs + 1 - (1 - similar) / similar * size)
+    return np.maximum(1, np.ceil(least / 2 - 1e-6)).astype(np.int64)
+
+
+def _element_keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """For all elements of the rows' difference sets: the row, and a hash of anchor and element."""
+    sets = part.column("apart")
+    row = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy())
+    anchor = mix64(part.column("anchor").to_numpy().view(np.uint64))
+    return row, mix64(anchor[row] + sets.flatten().to_numpy().view(np.uint64))
+
+
+class Elements:
+    """Elements that several classes have, with the number of their members: sorted arrays, mapped when first needed."""
+
+    def __init__(self, shards: list[tuple[str, int]]):
+        self.shards, self.open = shards, {}
+
+    def __getstate__(self):
+        return {"shards": self.shards, "open": {}}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Members of each key, 0 if it is not there."""
+        out, bits = np.zeros(len(keys), np.int64), len(self.shards).bit_length() - 1
+        shard = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        for k in np.unique(shard).tolist():
+            if k not in self.open:
+                self.open[k] = map_arrays(*self.shards[k], ("<u8", "<i8"))
+            known, members = self.open[k]
+            if len(known):
+                rows = np.flatnonzero(shard == k)
+                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
+                out[rows] = np.where(known[at] == keys[rows], members[at], 0)
+        return out
+
+
+def _summed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """(key, members, least root, largest root) with one entry per key, sorted."""
+    order = np.argsort(columns[0])
+    key, members, low, high = (c[order] for c in columns)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return [key[first], np.add.reduceat(members, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)] if len(key) else columns
+
+
+def _mixed_elements(apart: DataFrame) -> Elements:
+    """The elements of ``apart`` (anchor, root, apart) that rows of different classes have.
+
+    Tasks sum up what they read before they pass it on, as packed blocks by hash range: an
+    element that very many rows have is one entry per block. A shard is merged to sorted arrays.
+    """
+    folder = fresh_path(apart.sparkSession, "elements")
+    total = apart.agg(F.coalesce(F.sum(F.size("apart")), F.lit(0))).first()[0]
+    bits = max(0, math.ceil(math.log2(max(1, total / SHARD_ELEMENTS))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            columns = _summed([np.concatenate(c) for c in zip(*held)])
+            held.clear()
+            shard = (columns[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(columns[0]), np.int64)
+            there = np.unique(shard)
+            ends = np.append(np.searchsorted(shard, there), len(shard))
+            blocks = [pack([c[x:y] for c in columns]) for x, y in zip(ends[:-1], ends[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
+
+        for batch in batches:
+            row, keys = _element_keys(batch)
+            root = batch.column("root").to_numpy()[row]
+            held.append(_summed([keys, np.ones(len(keys), np.int64), root, root]))
+            if sum(len(h[0]) for h in held) >= ELEMENTS_AT_ONCE:
+                yield out()
+        if held:
+            yield out()
+
+    def merge(group: pa.Table) -> pa.Table:
+        blocks = [unpack(b, 4) for b in group.column("block").to_pylist()]
+        key, members, low, high = _summed([np.concatenate(c) for c in zip(*blocks)])
+        mixed = low != high
+        path = write_arrays(folder, "elements", [key[mixed], members[mixed]])
+        return pa.table({"shard": group.column("shard")[:1], "path": [path], "n": [int(mixed.sum())]})
+
+    blocks = apart.select("anchor", "root", "apart").mapInArrow(count, "shard int, block binary")
+    files = blocks.groupBy("shard").applyInArrow(merge, "shard int, path string, n bigint").collect()  # a row for each file
+    by_shard = {f["shard"]: (f["path"], f["n"]) for f in files}
+    return Elements([by_shard.get(k, ("", 0)) for k in range(1 << bits)])
 
 
 def _classes(nodes: DataFrame, texts_of, similar: float) -> DataFrame | None:

@@ -558,3 +558,24 @@ def test_rows_that_can_meet_no_other_class_stay_out(spark):
     part = 0.2 / 1.8
     meets = {a[1] for a in rows for b in rows if a[0] == b[0] and a[5] != b[5] and a[3] + b[3] - 2 * min(a[4], b[4]) <= part * (a[2] + b[2]) + 1e-6}
     assert meets <= got < {r[1] for r in rows}
+
+
+@pytest.mark.parametrize("shard, at_once", [(1 << 17, 1 << 20), (8, 50)])
+def test_elements_of_several_classes_are_counted_exactly(spark, monkeypatch, shard, at_once):
+    monkeypatch.setattr(near_dedup, "SHARD_ELEMENTS", shard)
+    monkeypatch.setattr(near_dedup, "ELEMENTS_AT_ONCE", at_once)
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 3)), int(rng.integers(0, 6)), sorted({int(x) for x in rng.integers(-20, 20, 9)})) for _ in range(120)] + [(1, 1, [])]
+    frame = spark.createDataFrame(rows, "anchor bigint, root bigint, apart array<bigint>").repartition(4)
+    table = near_dedup._mixed_elements(frame)
+    held = defaultdict(list)
+    for anchor, root, apart in rows:
+        for e in apart:
+            held[anchor, e].append(root)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in held]), pa.array([[e] for _, e in held], pa.list_(pa.int64()))], names=["anchor", "apart"])
+    found = table.find(near_dedup._element_keys(batch)[1])
+    assert found.tolist() == [len(r) if len(set(r)) > 1 else 0 for r in held.values()]
+    empty = near_dedup._mixed_elements(frame.where("false"))
+    assert empty.find(np.array([5], np.uint64)).tolist() == [0]
