@@ -33,12 +33,13 @@ RATIO = 0.1
 MIN_PAGES = 5
 MIN_REPEATS = 3
 
+_BLANKS = "".join(map(chr, range(0x21))) + "\xa0"
 _BLANK = r"^[\x00-\x20 ]+|[\x00-\x20 ]+$"
 _BLOCK = (
     r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|article|section|nav|table|tr|td|th|title|head|body|html"
     r"|header|footer|main|aside|pre|blockquote|form|option)(?:[\s/][^>]*)?>"
 )
-_HIDDEN = r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<!--.*?-->"
+_HIDDEN = r"(?is)<(?:script(?:\s[^>]*)?>.*?</script\s*>|style(?:\s[^>]*)?>.*?</style\s*>|!--.*?-->)"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 _HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -49,14 +50,18 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _bare(line: Column) -> Column:
+    """A line without the blanks around it."""
+    return F.btrim(line, F.lit(_BLANKS))
+
+
 def html_lines(html: Column) -> Column:
     """Visible lines of a page: block elements end a line, other tags, scripts and comments go."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), r"<[^>]*>", "")
     for entity, char in _ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _BLANK, ""))
-    return F.filter(lines, lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), _bare), lambda x: x != "")
 
 
 def parsed_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", lines: str = "lines") -> DataFrame:
@@ -73,7 +78,7 @@ def text_lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     """64-bit hash of a line without the blanks around it; null for a blank line."""
-    bare = F.regexp_replace(line, _BLANK, "")
+    bare = _bare(line)
     return F.when(bare != "", F.xxhash64(bare))
 
 
