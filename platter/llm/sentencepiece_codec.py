@@ -14,8 +14,8 @@ batch's distinct chunks up by binary search, and join their ids back by position
 Whether a model can be cut so is read off its vocabulary when it is loaded; a
 model that allows pieces across markers, or normalises its input, is run on whole texts.
 
-Bounds: a task holds ``PART_BYTES`` of distinct chunks before it passes them on, and the
-chunks that a worker looked up last up to ``HELD_BYTES``; neither changes a result. A shard
+Bounds: a task holds ``PART_BYTES`` of distinct chunks before it passes them on, which changes
+no result, and encodes ``TEXTS_AT_ONCE`` texts at a time. A shard
 of the table has about ``SHARD_CHUNKS`` chunks, the driver sees one row per shard.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a row per
@@ -43,7 +43,6 @@ from platter.session import fresh_path, stored
 
 MARK = "▁"
 PART_BYTES = 32 << 20
-HELD_BYTES = 64 << 20
 SHARD_CHUNKS = 1_000_000
 TEXTS_AT_ONCE = 256
 
@@ -69,6 +68,7 @@ class Codec:
             and self.model.decode(self.model.encode(probe)) == probe
             and self._lead("\n") == 1
         )
+        self.numbers = [str(i) for i in range(len(pieces))]
         self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 
     def _lead(self, text: str) -> int:
@@ -86,6 +86,10 @@ class Codec:
             return self.model.encode(chunk)[1:]
         return self.model.encode("\n" + chunk)[2:]
 
+    def decimals(self, ids: list[int]) -> str:
+        """The ids as decimals, joined by commas."""
+        return ",".join(map(self.numbers.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
 
@@ -102,24 +106,20 @@ def _hashes(chunks: Iterable[str]) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(c) for c in chunks), ">u8").astype("<u8").reshape(-1, 2)
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 class ChunkTable:
     """The distinct chunks of a corpus with their ids, mapped from the shared folder when first needed."""
 
     def __init__(self, shards: list[tuple[str, int, str, int]]):
         #: By shard: file and number of the chunks, file and number of their ids.
-        self.shards = shards
-        self._reset()
+        self.shards, self.open = shards, {}
 
     def __getstate__(self):
-        return {"shards": self.shards}
-
-    def __setstate__(self, state):
-        self.__init__(state["shards"])
-
-    def _reset(self) -> None:
-        self.open: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
-        self.held: dict[str, tuple[list[int], str]] = {}
-        self.size = 0
+        return {"shards": self.shards, "open": {}}
 
     def _shard(self, k: int) -> tuple[list[np.ndarray], np.ndarray]:
         if k not in self.open:
@@ -127,30 +127,34 @@ class ChunkTable:
             self.open[k] = (map_arrays(chunks, n, _TABLE), map_arrays(ids, n_ids, ("<i4",))[0])
         return self.open[k]
 
-    def _look_up(self, chunks: list[str]) -> Iterator[list[int]]:
+    def look_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct chunks: all ids, and where those of each chunk begin and how many they are."""
         hashes = _hashes(chunks)
         bits = len(self.shards).bit_length() - 1
         shard = (hashes[:, 0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(chunks), np.int64)
-        found: list[list[int]] = [[]] * len(chunks)
+        starts, sizes = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        flat, before = [np.empty(0, np.int32)], 0
         for k in np.unique(shard).tolist():
             rows = np.flatnonzero(shard == k)
             (high, low, ends), ids = self._shard(k)
             at = np.searchsorted(high, hashes[rows, 0])
-            for row, place in zip(rows.tolist(), at.tolist()):
-                while low[place] != hashes[row, 1]:  # equal first halves are next to each other
-                    place += 1
-                found[row] = ids[ends[place - 1] if place else 0 : ends[place]].tolist()
-        yield from found
-
-    def ids_of(self, texts: list[list[str]]) -> dict[str, tuple[list[int], str]]:
-        """The ids, and their decimals joined by commas, of all chunks of some texts."""
-        if self.size > HELD_BYTES:
-            self.held, self.size = {}, 0
-        new = list({c for chunks in texts for c in chunks if c not in self.held})
-        for chunk, ids in zip(new, self._look_up(new) if new else ()):
-            self.held[chunk] = (ids, ",".join(map(str, ids)))
-            self.size += 200 + len(chunk) + 50 * len(ids)
-        return self.held
+            for i in np.flatnonzero(low[at] != hashes[rows, 1]).tolist():  # equal first halves are next to each other
+                while low[at[i]] != hashes[rows[i], 1]:
+                    at[i] += 1
+            first = np.where(at > 0, ends[at - 1], 0)
+            sizes[rows] = ends[at] - first
+            starts[rows] = before + np.cumsum(sizes[rows]) - sizes[rows]
+            flat.append(ids[_spans(first, sizes[rows])])
+            before += len(flat[-1])
+        return np.concatenate(flat), starts, sizes
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, given by their chunks, one text after the other, and where each text ends."""
+        place: dict[str, int] = {}
+        at = np.array([place.setdefault(c, len(place)) for chunks in texts for c in chunks], np.int64)
+        flat, starts, sizes = self.look_up(list(place))
+        ends = np.append(0, np.cumsum(sizes[at]))[np.cumsum([len(chunks) for chunks in texts])]
+        return flat[_spans(starts[at], sizes[at])], ends
 
 
 def chunk_table(rows: DataFrame, model_path: str) -> ChunkTable:
@@ -212,30 +216,26 @@ def encode_decode(
     schema = "id " + id_type + ", n_tokens bigint" + ", ids array<int>" * ids + ", ids_sha256 string, decoded_sha256 string" * digests
     table = chunk_table(rows, model_path) if codec(model_path).cut else None
 
-    def encoded(tool: Codec, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        if table is None:
-            for text in texts:
-                found = tool.model.encode(text)
-                yield found, ",".join(map(str, found))
-            return
-        cut = [tool.chunks(t) for t in texts]
-        known = table.ids_of(cut)
-        for chunks in cut:
-            parts = [known[c] for c in chunks]
-            yield list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
+    def encoded(tool: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if table is not None:
+            return table.encode([tool.chunks(t) for t in texts])
+        found = [np.array(tool.model.encode(t), np.int32) for t in texts]
+        return np.concatenate([np.empty(0, np.int32), *found]), np.cumsum([len(f) for f in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model_path)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
-                coded = list(encoded(tool, part.column(1).to_pylist()))
-                out = [part.column(0), pa.array([len(c[0]) for c in coded], pa.int64())]
+                flat, ends = encoded(tool, part.column(1).to_pylist())
+                bounds = np.append(0, ends)
+                out = [part.column(0), pa.array(np.diff(bounds), pa.int64())]
                 if ids:
-                    out.append(pa.array([c[0] for c in coded], pa.list_(pa.int32())))
+                    out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
                 if digests:
-                    out.append(pa.array([_sha(c[1]) for c in coded]))
-                    out.append(pa.array([_sha(tool.decode(c[0])) for c in coded]))
+                    lists = [flat[a:b].tolist() for a, b in zip(bounds, ends)]
+                    out.append(pa.array([_sha(tool.decimals(x)) for x in lists], pa.string()))
+                    out.append(pa.array([_sha(tool.decode(x)) for x in lists], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     names = ["id", "n_tokens", *["ids"] * ids, *["ids_sha256", "decoded_sha256"] * digests]
