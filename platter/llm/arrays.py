@@ -46,6 +46,32 @@ def map_arrays(path: str, rows: int, types: tuple[str, ...]) -> list[np.ndarray]
     return out
 
 
+class Maps:
+    """Files of arrays, each mapped when it is first needed; beyond ``most``, the one not used for longest is let go.
+
+    A map holds a file descriptor, of which a process has a bounded number, while files grow in number with the corpus.
+    """
+
+    def __init__(self, files: list[tuple[str, int]], types: tuple[str, ...], most: int = 512):
+        self.files, self.types, self.most = files, types, most
+        self.open: dict[int, list[np.ndarray]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"open": {}}
+
+    def __len__(self) -> int:
+        return len(self.files)
+
+    def __getitem__(self, k: int) -> list[np.ndarray]:
+        arrays = self.open.pop(k, None)
+        if arrays is None:
+            if len(self.open) >= self.most:
+                del self.open[next(iter(self.open))]
+            arrays = map_arrays(*self.files[k], self.types)
+        self.open[k] = arrays  # last in the order of use
+        return arrays
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of equal length, the first one sorted, as a small block.
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platter.llm.arrays import map_arrays, mix64, pack, unmix64, unpack, write_arrays
+from platter.llm.arrays import Maps, mix64, pack, unmix64, unpack, write_arrays
 from platter.llm.common import WORD, whole_text
 from platter.session import fresh_path, stored
 
@@ -95,34 +95,25 @@ def _lower_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[t
             yield part, pc.ascii_lower(part.column(column)).to_pylist()
 
 
-@dataclass
 class Vocabulary:
-    """Sorted word hashes in one or more mapped files."""
-
-    files: list[tuple[str, int]]
-    arrays: list = field(default_factory=list)
-
-    def __getstate__(self):
-        return {"files": self.files, "arrays": []}
+    """Sorted word hashes with counts, one file for each range of hashes."""
 
-    def _open(self) -> None:
-        if not self.arrays:
-            self.arrays = [map_arrays(path, n, _WORDS) for path, n in self.files]
-            self.starts = np.array([a[0][0] for a in self.arrays], np.uint64)
-            self.before = np.cumsum([0, *(n for _, n in self.files)])
+    def __init__(self, files: list[tuple[str, int]]):
+        self.shards = Maps(files, _WORDS)
+        self.before = np.cumsum([0, *(n for _, n in files)])
 
     def find(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and training counts of ``words``."""
-        self._open()
         hashes = np.fromiter(map(word_hash, words), np.uint64, len(words))
         ids, counts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64)
-        if not self.arrays:
-            return ids, counts
         order = np.argsort(hashes)
-        shard = np.searchsorted(self.starts, hashes[order], side="right") - 1
-        for k in np.unique(shard[shard >= 0]):
+        bits = len(self.shards).bit_length() - 1
+        shard = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+        for k in np.unique(shard).tolist():
             rows = order[shard == k]
-            known, count = self.arrays[k]
+            known, count = self.shards[k]
+            if not len(known):
+                continue
             at = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
             hit = known[at] == hashes[rows]
             ids[rows[hit]] = at[hit] + self.before[k]
@@ -132,50 +123,38 @@ class Vocabulary:
 
 @dataclass
 class Model:
-    """The finished arrays; a worker opens them when it first needs them."""
+    """The finished arrays; a worker maps those that it needs."""
 
     vocabulary: Vocabulary
     n_words: int
     n_tokens: int
-    pairs: list[tuple[str, int]]  # by shard
-    ranges: list[tuple[str, int]]  # by range of ids
+    pairs: Maps  # by shard
+    ranges: Maps  # by range of ids
     pair_counts: list[int]
     word_counts: list[int]
     n_pairs: int
-    open_pairs: list = field(default_factory=list)
-    open_ranges: list = field(default_factory=list)
-
-    def __getstate__(self):
-        return self.__dict__ | {"open_pairs": [], "open_ranges": []}
-
-    def _open(self) -> None:
-        if not self.open_pairs:
-            self.open_pairs = [map_arrays(path, n, _PAIRS) for path, n in self.pairs]
-            self.open_ranges = [map_arrays(path, n, _STATS) for path, n in self.ranges]
 
     def stats(self, ids: np.ndarray) -> np.ndarray:
         """Rows of (followed, by 1, by 2, by 3 or more, preceded) for ids; zeros for -1."""
-        self._open()
         out = np.zeros((5, len(ids)))
         part = ids // RANGE_IDS
-        for k in np.unique(part[ids >= 0]):
+        for k in np.unique(part[ids >= 0]).tolist():
             rows = np.flatnonzero((part == k) & (ids >= 0))
             at = ids[rows] - k * RANGE_IDS
-            for i, column in enumerate(self.open_ranges[k]):
+            for i, column in enumerate(self.ranges[k]):
                 out[i, rows] = column[at]
         return out
 
     def count(self, pairs: np.ndarray) -> np.ndarray:
         """Training counts of scrambled pairs, given in ascending order."""
-        self._open()
         out = np.zeros(len(pairs), np.int64)
-        if not self.open_pairs:
+        if not len(self.pairs):
             return out
-        bits = len(self.open_pairs).bit_length() - 1
+        bits = len(self.pairs).bit_length() - 1
         shard = (pairs >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pairs), np.int64)
-        ends = np.searchsorted(shard, np.arange(len(self.open_pairs) + 1))
-        for k in np.unique(shard):
-            known, count = self.open_pairs[k]
+        ends = np.searchsorted(shard, np.arange(len(self.pairs) + 1))
+        for k in np.unique(shard).tolist():
+            known, count = self.pairs[k]
             if len(known):
                 wanted = pairs[ends[k] : ends[k + 1]]
                 at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
@@ -260,7 +239,8 @@ def count_words(rows: DataFrame, folder: str) -> tuple[Vocabulary, int, int]:
         return pa.table({"shard": group.column("shard")[:1], "path": [path], "n": pa.array([len(h)], pa.int64())})
 
     files = counts.withColumn("shard", shard).groupBy("shard").applyInArrow(write, "shard int, path string, n bigint").collect()
-    return Vocabulary([(f["path"], f["n"]) for f in sorted(files, key=lambda f: f["shard"])]), n_words, n_tokens
+    by_shard = {f["shard"]: (f["path"], f["n"]) for f in files}
+    return Vocabulary([by_shard.get(k, ("", 0)) for k in range(1 << bits)]), n_words, n_tokens
 
 
 def _occurrences(counts: np.ndarray) -> list[int]:
@@ -274,7 +254,7 @@ def train(rows: DataFrame) -> Model:
     folder = fresh_path(rows.sparkSession, "lm")
     vocabulary, n_words, n_tokens = count_words(rows, folder)
     if not n_tokens:
-        return Model(vocabulary, 0, 0, [], [], [0] * 5, [0] * 5, 0)
+        return Model(vocabulary, 0, 0, Maps([], _PAIRS), Maps([], _STATS), [0] * 5, [0] * 5, 0)
     bits = max(0, int(np.ceil(np.log2(n_tokens / SHARD_TOKENS)))) if n_tokens > SHARD_TOKENS else 0
     wide = n_words + 1
     if wide * wide >= 1 << 63:
@@ -365,8 +345,8 @@ def train(rows: DataFrame) -> Model:
         vocabulary,
         n_words,
         n_tokens,
-        [by_shard.get(k, ("", 0)) for k in range(1 << bits)],
-        [by_range.get(k, ("", 0)) for k in range(n_words // RANGE_IDS + 1)],
+        Maps([by_shard.get(k, ("", 0)) for k in range(1 << bits)], _PAIRS),
+        Maps([by_range.get(k, ("", 0)) for k in range(n_words // RANGE_IDS + 1)], _STATS),
         [sum(s[3 + i] for s in shards) for i in range(5)],
         [sum(r[4 + i] for r in ranges) for i in range(5)],
         sum(r[3] for r in ranges),
