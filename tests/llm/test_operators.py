@@ -583,3 +583,14 @@ def test_elements_of_several_classes_are_counted_exactly(spark, monkeypatch, sha
     assert found.tolist() == [len(r) if len(set(r)) > 1 else 0 for r in held.values()]
     empty = near_dedup._mixed_elements(frame.where("false"))
     assert empty.find(np.array([5], np.uint64)).tolist() == [0]
+
+
+def test_maps_keep_few_files_open(tmp_path):
+    from platter.llm.arrays import Maps, write_arrays
+
+    files = [(write_arrays(str(tmp_path), "x", [np.arange(i, i + 5, dtype=np.int64)]), 5) for i in range(10)] + [("", 0)]
+    maps = Maps(files, ("<i8",), most=3)
+    for k in [0, 1, 2, 0, 3, 9, 4, 0, 5, 10, 10, 7]:
+        assert maps[k][0].tolist() == (list(range(k, k + 5)) if k < 10 else [])
+        assert len(maps.open) <= 3
+    assert list(maps.open) == [5, 10, 7]
