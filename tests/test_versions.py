@@ -151,3 +151,24 @@ def test_lines_are_narrowed_before_their_first_exchange(spark, monkeypatch):
     steps = [s for s in plan(held["touched-lines"]).splitlines() if "Join" in s or "Exchange" in s or "lineitem" in s]
     at = next(i for i, s in enumerate(steps) if "lineitem" in s)
     assert "LeftSemi" in steps[0] and not any("Exchange" in s and "Broadcast" not in s for s in steps[:at])
+
+
+def test_lines_of_a_large_batch_are_dealt_out_once(spark, monkeypatch):
+    held = {}
+    real = ordering.stored
+    monkeypatch.setattr(ordering, "stored", lambda frame, label: held.setdefault(label, frame) and real(frame, label))
+    t = retail_tables(spark, "/root/testdata/sf0.001")
+    asked = t.order_items.select("order_id", "item_id", F.lit(1).alias("quantity"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")  # too little for the additions
+    try:
+        done = ordering.add_items_to_orders(t, asked)
+        assert "hashpartitioning" not in plan(held["touched-lines"])
+        assert "LeftAnti" not in plan(done.tables.order_items)
+        before, after = t.order_items.collect(), done.tables.order_items.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    added = {r[0] for r in asked.join(done.rejects, ["order_id", "item_id"], "left_anti").select("order_id").collect()}
+    assert added and len(after) == len(before)
+    assert sorted(map(str, (r for r in after if r["order_id"] not in added))) == sorted(map(str, (r for r in before if r["order_id"] not in added)))
+    assert sum(r["quantity"] for r in after) > sum(r["quantity"] for r in before)
