@@ -172,3 +172,24 @@ def test_lines_of_a_large_batch_are_dealt_out_once(spark, monkeypatch):
     assert added and len(after) == len(before)
     assert sorted(map(str, (r for r in after if r["order_id"] not in added))) == sorted(map(str, (r for r in before if r["order_id"] not in added)))
     assert sum(r["quantity"] for r in after) > sum(r["quantity"] for r in before)
+
+
+def kinds(outcome):
+    return {os.path.basename(p).rpartition("-")[0] for p in outcome.scratch}
+
+
+def test_rejects_are_read_without_numbering_or_exact_figures(spark, tmp_path):
+    """Bounds per order settle an ordinary batch; an order past its bound is still let in by its exact figures."""
+    t = tables(spark, [user(1)], [item(1, 1, "99999.00", 900), item(2, 1, 5, 2000)], [order(1, 1, 5), order(2, 1, 5, status="completed")],
+               [line(1, 1, 1, 1, "99999.00"), line(-2, -64, 1, 1, 5)])
+    asked = "order_id int, item_id int, quantity int"
+    plain = ordering.add_items_to_orders(t, spark.createDataFrame([(1, 2, 3), (2, 2, 1)], asked))
+    assert values(plain.rejects) == [(2, 2, 1, "order_not_open")]
+    assert not kinds(plain) & {"ordered", "beyond-range"}
+    assert values(plain.tables.order_items, "order_item_id", "quantity") == [(-2, 1), (1, 1), (2, 3)]
+    assert "ordered" in kinds(plain)
+    plain.save(str(tmp_path / "after"))
+    assert not {os.path.basename(p) for p in plain.scratch} & folders(spark)
+    near = ordering.add_items_to_orders(t, spark.createDataFrame([(1, 2, 1500)], asked))
+    assert "beyond-range" in kinds(near) and values(near.rejects) == []
+    assert values(near.tables.orders, "order_id", "total_amount") == [(1, 107499.0), (2, 5.0)]
