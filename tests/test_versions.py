@@ -193,3 +193,13 @@ def test_rejects_are_read_without_numbering_or_exact_figures(spark, tmp_path):
     near = ordering.add_items_to_orders(t, spark.createDataFrame([(1, 2, 1500)], asked))
     assert "beyond-range" in kinds(near) and values(near.rejects) == []
     assert values(near.tables.orders, "order_id", "total_amount") == [(1, 107499.0), (2, 5.0)]
+
+
+def test_totals_are_read_without_numbering(spark):
+    t = tables(spark, [user(1)], [item(1, 1, 7, 900), item(2, 1, 5, 900)], [order(1, 1, 5), order(2, 1, 5), order(65, 1, 5)],
+               [line(1, 1, 1, 2, 5), line(2, 1, 1, 1, 6, 4), line(3, 1, 3, 1, 2), line(4, 2, 1, 1, 5)])
+    done = ordering.add_items_to_orders(t, spark.createDataFrame([(1, 1, 1), (1, 2, 2), (65, 1, 3)], "order_id int, item_id int, quantity int"))
+    assert values(done.tables.orders, "order_id", "total_amount") == [(1, 39.0), (2, 5.0), (65, 21.0)]
+    assert "ordered" not in kinds(done)
+    sums = done.tables.order_items.groupBy("order_id").agg(F.sum("subtotal").alias("total"))
+    assert values(sums.where("order_id <> 2")) == [(1, 39.0), (65, 21.0)]
