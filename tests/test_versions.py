@@ -203,3 +203,26 @@ def test_totals_are_read_without_numbering(spark):
     assert "ordered" not in kinds(done)
     sums = done.tables.order_items.groupBy("order_id").agg(F.sum("subtotal").alias("total"))
     assert values(sums.where("order_id <> 2")) == [(1, 39.0), (65, 21.0)]
+
+
+def mixed_batch(spark):
+    """Requests of every kind for orders of every kind, one of them repeated with another status."""
+    t = tables(spark, [user(1)], [item(1, 1, "99999.00", 900), item(2, 1, 5, 2000), item(3, 1, 5, 0)],
+               [order(1, 1, 5), order(2, 1, 5, status="completed"), order(3, 1, 5), order(3, 1, 5, status="cancelled"), order(90, 1, 5)],
+               [line(1, 1, 1, 1, "99999.00"), line(2, 2, 1, 1, 5), line(3, 3, 2, 1, 5), line(4, 3, 2, 2, 6), line(5, 90, 1, 999, "99999.00")])
+    asked = [(1, 2, 3), (1, 1, 2), (2, 2, 1), (3, 2, 1), (3, 3, 1), (3, 9, 1), (3, 2, 0), (3, 2, None), (3, None, 1),
+             (90, 1, 2), (90, 2, 1), (91, 1, 1), (None, 1, 1)]
+    return t, spark.createDataFrame(asked, "order_id int, item_id int, quantity int")
+
+
+def test_rejects_of_a_large_batch_narrow_no_lines(spark, monkeypatch):
+    t, asked = mixed_batch(spark)
+    small = ordering.add_items_to_orders(t, asked)
+    monkeypatch.setattr(ordering, "LARGE_BATCH", 0, raising=False)
+    large = ordering.add_items_to_orders(t, asked)
+    found = sorted(map(str, large.rejects.collect()))
+    assert found == sorted(map(str, small.rejects.collect()))
+    assert sum("amount_out_of_range" in r for r in found) == 2 and sum("order_not_found" in r for r in found) == 2
+    assert not kinds(large) & {"added", "touched-lines"}
+    calm = ordering.add_items_to_orders(t, asked.where("order_id < 9"))
+    assert kinds(calm) == {"asked-bounds", "suspect-bounds"}
