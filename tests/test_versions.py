@@ -226,3 +226,14 @@ def test_rejects_of_a_large_batch_narrow_no_lines(spark, monkeypatch):
     assert not kinds(large) & {"added", "touched-lines"}
     calm = ordering.add_items_to_orders(t, asked.where("order_id < 9"))
     assert kinds(calm) == {"asked-bounds", "suspect-bounds"}
+
+
+def test_totals_of_a_large_batch_deal_out_open_orders_only(spark, monkeypatch):
+    t, asked = mixed_batch(spark)
+    small = ordering.add_items_to_orders(t, asked)
+    monkeypatch.setattr(ordering, "LARGE_BATCH", 0, raising=False)
+    large = ordering.add_items_to_orders(t, asked)
+    totals = values(large.tables.orders, "order_id", "total_amount")
+    assert totals == values(small.tables.orders, "order_id", "total_amount") and totals[0] == (1, 300012.0)
+    assert "open-blocks" in kinds(large) and "touched-lines" not in kinds(large)
+    assert values(large.tables.order_items, "order_id", "item_id", "quantity") == values(small.tables.order_items, "order_id", "item_id", "quantity")
