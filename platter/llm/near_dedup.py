@@ -67,6 +67,7 @@ FEW = 8
 SHORT = 12
 ELEMENTS_AT_ONCE = 1 << 20
 SHARD_ELEMENTS = 1 << 17
+PAIRS_AT_ONCE = 256
 
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix64(_SEEDS) | np.uint64(1)
@@ -232,13 +233,18 @@ def _passing(test, least: float):
 
 
 def _links(pairs: DataFrame, signs: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """The pairs that are similar."""
+    """The pairs that are similar.
+
+    They are written first, so that the number of tasks can follow from their number: rounds with few pairs start few workers.
+    """
+    pairs = stored(pairs, "pairs")
+    tasks = max(1, math.ceil(pairs.count() / PAIRS_AT_ONCE))
 
     def with_both(frame: DataFrame, values: DataFrame) -> DataFrame:
         value = values.columns[1]
         for side in ("a", "b"):
             frame = frame.join(values.select(F.col("node").alias(side), F.col(value).alias(f"of_{side}")), side)
-        return frame.select("a", "b", "of_a", "of_b")
+        return frame.select("a", "b", "of_a", "of_b").coalesce(tasks)
 
     rough = with_both(pairs, signs).mapInArrow(_passing(agreement, ROUGH * similar / SIMILAR), "a bigint, b bigint")
     return with_both(rough, texts).mapInArrow(_passing(aligned, similar - 1e-9), "a bigint, b bigint")
@@ -308,7 +314,8 @@ def _differences(crowd: DataFrame, texts: DataFrame, similar: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=["node", "anchor", "root", "size", "base", "apart"])
 
     of_anchor = texts.select(F.col("node").alias("anchor"), F.col("shingles").alias("base"))
-    both = crowd.join(texts, "node").join(of_anchor, "anchor").select("node", "anchor", "root", "shingles", "base")
+    #: The short rows meet by anchor, which many have in common; with the texts of both they are dealt out by node.
+    both = crowd.join(of_anchor, "anchor").join(texts, "node").select("node", "anchor", "root", "shingles", "base")
     apart = both.mapInArrow(tell, "node bigint, anchor bigint, root bigint, size int, base int, apart array<bigint>")
     apart = stored(apart.withColumn("differs", F.size("apart")).withColumn("shared", F.size("apart")), "apart")
     apart = stored(_may_meet(apart, "anchor", similar).select("node", "anchor", "root", "size", "base", "apart"), "apart")

@@ -594,3 +594,19 @@ def test_maps_keep_few_files_open(tmp_path):
         assert maps[k][0].tolist() == (list(range(k, k + 5)) if k < 10 else [])
         assert len(maps.open) <= 3
     assert list(maps.open) == [5, 10, 7]
+
+
+def test_rounds_with_few_pairs_start_few_tasks(spark, monkeypatch):
+    """Pairs are written before they are compared, so that their number is known."""
+    from platter.llm import near_dedup
+
+    held = {}
+    real = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda frame, label: held.setdefault(label, frame) and real(frame, label))
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 60, 4)] + ["all on its own"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.near_classes(docs).collect()
+    assert {r["class_id"] for r in rows if r["doc_id"] < 15} == {0} and {r["class_id"] for r in rows if r["doc_id"] == 15} == {15}
+    assert "pairs" in held
+    assert "Coalesce 1" in held["links"]._jdf.queryExecution().executedPlan().toString()
