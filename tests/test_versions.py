@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platter.operators import ordering, people, stock, wallet
+from platter.operators.base import fit_to
 from platter.session import shared_dir
 from platter.sources import versions
 from platter.sources.retail import retail_tables
@@ -237,3 +238,26 @@ def test_totals_of_a_large_batch_deal_out_open_orders_only(spark, monkeypatch):
     assert totals == values(small.tables.orders, "order_id", "total_amount") and totals[0] == (1, 300012.0)
     assert "open-blocks" in kinds(large) and "touched-lines" not in kinds(large)
     assert values(large.tables.order_items, "order_id", "item_id", "quantity") == values(small.tables.order_items, "order_id", "item_id", "quantity")
+
+
+def test_totals_of_a_large_batch_deal_requests_out_once_and_write_no_additions(spark, monkeypatch):
+    t = tables(spark, [user(1)], [item(1, 1, 7, 900), item(2, 1, 5, 900), item(2, 1, 6, 900), item(3, 1, 4, 900)],
+               [order(1, 1, 5), order(2, 1, 5), order(2, 1, 9), order(2, 1, 8, status="completed"), order(3, 1, 5, status="ready"), order(4, 1, 5),
+                order(5, 1, 5), order(70, 1, 5)],
+               [line(1, 1, 1, 2, 5), line(2, 1, 1, 1, 6, 4), line(3, 1, 3, 1, 2), line(4, 2, 1, 3, 5), line(5, 2, 3, 1, 9), line(6, 3, 1, 1, 5),
+                line(7, 4, 1, 1, 5)])
+    empty = t.order_items.where("order_item_id = 4").withColumns({"order_item_id": F.lit(8), "quantity": F.lit(None).cast("int")})
+    t = t.with_(order_items=t.order_items.unionByName(fit_to(t.order_items, empty)))
+    asked = spark.createDataFrame(
+        [(1, 1, 1), (1, 1, 2), (1, 2, 2), (2, 1, 1), (2, 2, 3), (2, 2, 1), (3, 1, 1), (5, 3, 2), (5, 9, 1), (70, 3, 901), (71, 1, 1), (None, 1, 1), (1, None, 1)],
+        "order_id int, item_id int, quantity int")
+    small = ordering.add_items_to_orders(t, asked).tables.orders
+    monkeypatch.setattr(ordering, "LARGE_BATCH", 0, raising=False)
+    large = ordering.add_items_to_orders(t, asked)
+    # 1: lines of 2 and 1 pieces grow by 3, the new line doubles as its item is listed twice; 2: open twice, so all is added twice.
+    twice = (3 + 2) * 5 + 9 + 2 * 2 * (3 + 1) * 6
+    want = [(1, 25 + 24 + 2 + 4 * 6), (2, twice), (2, twice), (2, twice), (3, 5), (4, 5), (5, 8), (70, 5)]
+    assert values(large.tables.orders, "order_id", "total_amount") == [(i, float(n)) for i, n in want]
+    assert rows(large.tables.orders) == rows(small)
+    assert "added" not in kinds(large)
+    assert "FullOuter" not in plan(large.tables.orders)
